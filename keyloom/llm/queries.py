@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import licenses, mtree, simhash, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op2_license_scan": licenses.op2_license_scan,
+        "op3_url_filter": urlfilter.op3_url_filter,
+        "op4_mtree_topk": mtree.op4_mtree_topk,
         "op5_simhash_near_dedup": simhash.op5_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_license_scan": licenses.OP2_SQL,
+        "op3_url_filter": urlfilter.OP3_SQL,
+        "op4_mtree_topk": mtree.OP4_SQL,
+    }
