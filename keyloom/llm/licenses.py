@@ -127,12 +127,16 @@ def places(phrase: str) -> Column:
     return F.when(F.col("w").contains(f" {phrase} "), found).otherwise(F.array().cast("array<int>"))
 
 
+def _labelled(found: Column, label: str) -> Column:
+    return F.transform(found, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, places (array<struct<at, label>>), matched (labels), score of every row."""
     spark = docs.sparkSession
     worded = docs.select("doc_id", words(F.col("text").cast("string")).alias("w"))
     order = word_order(worded, templates)
-    found = F.concat(*[F.transform(places(p), lambda i, label=label: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))) for p, label in PHRASES])
+    found = F.concat(*[_labelled(places(phrase), label) for phrase, label in PHRASES])
     n_words = F.when(F.trim("w") == "", 0).otherwise(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("w")))
     rows = staged(worded.select("doc_id", key.alias("key"), n_words.cast("long").alias("n_words"), found.alias("places"), blocks_of(order, templates, threshold).alias("blocks")), "scanned")
@@ -165,9 +169,9 @@ d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ),
 base AS (
-  SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(label) AS labels FROM (
-    SELECT r, label, at, ws, p, k FROM (SELECT r, ws, unnest(range(len(ws))) AS at FROM d WHERE len(ws) > 0) x, phrase
-    WHERE array_to_string(ws[at + 1 : at + k], ' ') = p) y GROUP BY r
+  SELECT r, count(*) AS n_base, min(p0) AS first_word, max(p0) AS last_word, list(label) AS labels FROM (
+    SELECT r, label, p0, ws, p, k FROM (SELECT r, ws, unnest(range(len(ws))) AS p0 FROM d WHERE len(ws) > 0) x, phrase
+    WHERE array_to_string(ws[p0 + 1 : p0 + k], ' ') = p) y GROUP BY r
 ),
 block AS (
   SELECT r, list_distinct(ws[b * {BLOCK // 2} + 1 : b * {BLOCK // 2} + {BLOCK}]) AS own

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mtree, simhash, urlfilter
+from . import htmltext, licenses, mtree, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op3_url_filter": urlfilter.op3_url_filter,
         "op4_mtree_topk": mtree.op4_mtree_topk,
+        "op6_html_text": htmltext.op6_html_text,
         "op5_simhash_near_dedup": simhash.op5_simhash,
     }
 
