@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -40,3 +44,28 @@ def held_out(doc_id: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def add_columns(df: DataFrame, source: str, ddl: str, make: Callable[[list], list]) -> DataFrame:
+    """``df`` with the columns of ``ddl``, made from batches of the column ``source``.
+
+    ``make`` gets the values of a batch and returns one list for each new column. The other columns
+    pass through as Arrow arrays: no value is converted.
+    """
+    added = StructType.fromDDL(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = make(b.column(b.schema.get_field_index(source)).to_pylist())
+            new = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(made, added.fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

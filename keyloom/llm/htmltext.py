@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import add_columns, read, staged
 from .urlfilter import split_url
 
 MIN_PAGES, MIN_SHARE = 3, 0.2
@@ -235,18 +235,16 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         met = keyed.join(salted, (F.col("host") == F.col("on")) & (F.col("salt") == F.col("on_salt")), "left")
 
-    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known: dict[str, frozenset[int]] = {}
-            texts = []
-            for host, html, hashes in zip(b["host"], b["html"], b["hashes"], strict=True):
-                if host not in known:
-                    known[host] = frozenset() if hashes is None else frozenset(int(x) for x in hashes)
-                texts.append(extract(html, known[host]))
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
-
-    kind = dict(pages.dtypes)
-    return met.select("page_id", "url", "host", "html", "hashes").mapInPandas(extracted, f"page_id {kind['page_id']}, url {kind['url']}, text string")
+    def extracted(rows: list) -> list:
+        known: dict[str, frozenset[int]] = {}
+        texts = []
+        for r in rows:
+            if r["host"] not in known:
+                known[r["host"]] = frozenset(r["hashes"] or ())
+            texts.append(extract(r["html"], known[r["host"]]))
+        return [texts]
+
+    return add_columns(met.select("page_id", "url", F.struct("host", "html", "hashes").alias("page")), "page", "text string", extracted).drop("page")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

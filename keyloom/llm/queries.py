@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, licenses, mtree, simhash, urlfilter
+from . import htmltext, langid, licenses, mtree, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_mtree_topk": mtree.op4_mtree_topk,
         "op6_html_text": htmltext.op6_html_text,
         "op5_simhash_near_dedup": simhash.op5_simhash,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op10_language": langid.op10_language,
     }
 
 

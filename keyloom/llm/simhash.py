@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import add_columns, staged
 
 #: Members of a leaf that the tree aims at, and sampled fingerprints for each leaf.
 LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
@@ -59,12 +59,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    def prints(texts: list) -> list:
+        return [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return add_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", "fp long", prints).select("doc_id", "fp")
 
 
 def fit_tree(sample: np.ndarray, leaves: int, radius: int) -> list[tuple[int, int, int, int]]:
