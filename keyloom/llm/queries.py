@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, licenses, mtree, simhash, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, licenses, mtree, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_html_text": htmltext.op6_html_text,
         "op5_simhash_near_dedup": simhash.op5_simhash,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_language": langid.op10_language,
     }
 
