@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, licenses, mtree, simhash, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, licenses, mixing, mtree, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": simhash.op5_simhash,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_mixing": mixing.op9_mixing,
         "op10_language": langid.op10_language,
     }
 
