@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, licenses, mixing, mtree, simhash, toxicity, urlfilter
+from . import decontaminate, htmltext, langid, licenses, mixing, mtree, secrets, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_url_filter": urlfilter.op3_url_filter,
         "op4_mtree_topk": mtree.op4_mtree_topk,
