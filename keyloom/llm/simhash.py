@@ -17,15 +17,16 @@ the group has none); an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, staged
+from .common import add_columns, fresh, staged
 
 #: Members of a leaf that the tree aims at, and sampled fingerprints for each leaf.
 LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
@@ -33,27 +34,47 @@ LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
 CELLS = 1 << 21
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of one text as an unsigned number."""
+def shingle_hashes(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
+    """The words, joined by spaces, and the XXH64 of each shingle, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    flat = b" ".join(words)
     if len(words) <= width:
-        grams = [b" ".join(words)]
+        grams = [flat] if words else []
     else:
-        flat, ends, at = b" ".join(words), [], -1
+        ends, at = [], -1
         for w in words:
             at += len(w) + 1
             ends.append(at)
         starts = [0, *(e + 1 for e in ends[:-width])]
         grams = [flat[s:e] for s, e in zip(starts, ends[width - 1 :], strict=True)]
     digest = xxhash.xxh64_intdigest
+    return flat, np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero if there are none."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, len(grams), 65536):
-        h = np.fromiter((digest(g, 42) for g in grams[i : i + 65536]), np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(grams), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of one text as an unsigned number."""
+    return majority(shingle_hashes(text, width)[1])
+
+
+def sample_prints(hashes: np.ndarray, samples: int, size: int = 3) -> np.ndarray:
+    """SimHashes of ``samples`` min-wise samples of ``size`` distinct shingles."""
+    distinct = np.unique(hashes)
+    out = np.zeros(samples, np.uint64)
+    for t in range(samples if len(distinct) else 0):
+        mixed = (distinct ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        least = mixed if len(mixed) <= size else np.partition(mixed, size - 1)[:size]
+        out[t] = majority(np.sort(least))
+    return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -195,11 +216,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = staged(small.select(F.col("v").alias("u"), F.col("r").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
 
 
-def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    prints = staged(fingerprints(docs, width), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """u, v: links among distinct fingerprints (column fp) that join all within ``radius`` bits."""
+    spark = distinct.sparkSession
     n = distinct.count()
     leaves = min(MAX_LEAVES, -(-n // LEAF))
     nodes = []
@@ -221,26 +240,95 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
         own = root != np.arange(len(root))
         return pd.DataFrame({"u": fps[own], "v": fps[root[own]]})
 
-    edges = distinct.select("fp").mapInPandas(dealt, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(linked, "u long, v long")
-    roots = components(edges)
+    return distinct.select("fp").mapInPandas(dealt, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(linked, "u long, v long")
+
+
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
+    prints = staged(fingerprints(docs, width), "prints")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = components(links(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    # The smallest id of each linked component; fingerprints without a link keep their own.
-    firsts = rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = staged(rooted.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("key"), "component_id"), "groups")
     return prints.join(ids, prints["fp"] == ids["key"], "left").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2, samples: int = 12) -> DataFrame:
+    """key, node, root of every row: texts whose shingle sets have a Jaccard similarity of ``threshold``.
+
+    ``docs`` has key and text. ``node`` names a text's words, ``root`` its group. A whole text's SimHash
+    moves by ten bits or so at a similarity of 0.8, a radius at which no triangle bound prunes. So
+    beside the tree's links within ``radius`` bits, texts are proposed that share the SimHash of one of
+    ``samples`` min-wise samples of three shingles (at 0.8 all but one pair in thousands do). A text
+    is proposed with the first and the last text of its sample's group, never with all; every
+    proposal is checked on the whole shingle sets.
+    """
+
+    def prints(texts: list) -> list:
+        nodes, fps, samples_ = [], [], []
+        for t in texts:
+            words, h = shingle_hashes(t, width)
+            nodes.append(hashlib.md5(words).hexdigest())
+            fps.append(majority(h))
+            samples_.append(sample_prints(h, samples).view(np.int64))
+        return [nodes, np.array(fps, np.uint64).view(np.int64), samples_]
+
+    rows = staged(add_columns(docs.select("key", F.col("text").cast("string")), "text", "node string, fp long, samples array<long>", prints).drop("text"), "rows")
+    texts = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "texts")
+    by_print = texts.groupBy("fp").agg(F.min("node").alias("node"))
+    tree = links(staged(by_print, "by-print"), radius)
+    whole = texts.select("fp", "node").join(by_print.select(F.col("fp").alias("k"), F.col("node").alias("other")), F.col("fp") == F.col("k")).select("node", "other")
+    ends = staged(by_print.select("fp", F.col("node").alias("name")), "names")
+    across = tree.join(ends, F.col("u") == F.col("fp")).select("v", F.col("name").alias("node")).join(ends, F.col("v") == F.col("fp")).select("node", F.col("name").alias("other"))
+    sampled = texts.select("node", F.posexplode("samples").alias("t", "s"))
+    first = sampled.groupBy("t", "s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    pairs = sampled.join(staged(first, "first"), ["t", "s"]).select("node", F.explode(F.array("lo", "hi")).alias("other"))
+    proposed = staged(whole.union(across).union(pairs).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
+
+    # Only texts that are proposed are read again: for their whole shingle sets.
+    wanted = staged(proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
+    asked = staged(rows.join(wanted, F.col("node") == F.col("wanted"), "left_semi").groupBy("node").agg(F.min("key").alias("key")), "asked")
+
+    def sets(texts_: list) -> list:
+        return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
+
+    again = docs.select(F.col("key").alias("of"), F.col("text").cast("string")).join(asked, F.col("of") == F.col("key")).select("node", "text")
+    shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+    both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def close(pairs_: list) -> list:
+        out = []
+        for p in pairs_:
+            x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared >= threshold * (len(x) + len(y) - shared))
+        return [out]
+
+    checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
+    roots = components(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = roots.select(F.col("node").alias("member"), "root")
+    return rows.join(named, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id, and of its repeats the first.
+    """One row of each group of similar texts: that of the smallest id, of repeats any one.
 
-    Rows whose id is null are kept. Columns are those of ``docs``.
+    A null id counts as larger than any. Rows and columns are those of ``docs``.
     """
-    keep = near_groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(staged(keep, "kept"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeat = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    spare = F.row_number().over(repeat)
     columns = docs.columns
-    return named.withColumn("__n", spare).where("__n = 1").select(*columns).union(docs.where("doc_id is null"))
+    key, order = fresh(docs, "__key"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*columns))
+    # Rows that agree in every column have one key.
+    keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(*columns)), F.md5("text")))
+    groups = staged(similar_groups(keyed.select(F.col(key).alias("key"), "text"), **options), "similar")
+    ids = staged(keyed.select(F.col(key).alias("id"), order.alias("place")), "places")
+    placed = staged(groups.distinct().join(ids.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), F.col("key") == F.col("id")).select("key", "root", "place", "n"), "placed")
+    firsts = placed.groupBy("root").agg(F.min(F.struct("place", "key")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("kept"))
+    judged = staged(placed.join(firsts, F.col("root") == F.col("of")).select("key", "n", (F.col("key") == F.col("kept")).alias("keep")), "judged")
+    # Most rows stay: those to go, and the few that stand for repeats, are the small side.
+    once = keyed.join(judged.where("not keep or n > 1").select(F.col("key").alias("gone")), F.col(key) == F.col("gone"), "left_anti")
+    repeats = keyed.join(judged.where("keep and n > 1").select(F.col("key").alias("again")), F.col(key) == F.col("again"), "left_semi").dropDuplicates([key])
+    return once.select(*columns).union(repeats.select(*columns))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
