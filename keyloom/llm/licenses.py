@@ -76,18 +76,22 @@ def clauses(spark: SparkSession, order: list[str], templates=TEMPLATES, threshol
     return spark.createDataFrame(rows, "clause int, label string, terms array<string>, n int, o int")
 
 
+def prefix_words(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> set[str]:
+    """Words of which a block that matches any clause has at least one."""
+    rank, out = {t: i for i, t in enumerate(order)}, set()
+    for _, text in templates:
+        terms = sorted(set(text.split()), key=rank.__getitem__)
+        out |= set(terms[: len(terms) - math.ceil(threshold * len(terms) - 1e-9) + 1])
+    return out
+
+
 def blocks_of(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> Column:
-    """array<struct<block, own>>: a text's blocks (column ``w``) that hold any prefix word.
+    """array<struct<block, own>>: a text's blocks (column ``ws``) that hold any prefix word.
 
     ``own`` has the block's template words in the global order; no other word can match.
     """
-    rank = {t: i for i, t in enumerate(order)}
-    prefix = set()
-    for _, text in templates:
-        terms = sorted(set(text.split()), key=rank.__getitem__)
-        prefix |= set(terms[: len(terms) - math.ceil(threshold * len(terms) - 1e-9) + 1])
-    half = block // 2
-    ws = F.split(F.trim("w"), " ")
+    prefix = prefix_words(order, templates, threshold)
+    half, ws = block // 2, F.col("ws")
     n_blocks = F.greatest(F.lit(1), F.ceil((F.size(ws) - half) / F.lit(half)).cast("int"))
     listed = F.array(*map(F.lit, order))
     cut = F.transform(
@@ -95,9 +99,7 @@ def blocks_of(order: list[str], templates=TEMPLATES, threshold: float = THRESHOL
         lambda b: F.struct(b.alias("block"), F.array_intersect(listed, F.slice(ws, b * half + 1, block)).alias("own")),
     )
     some = F.filter(cut, lambda b: F.arrays_overlap(b["own"], F.array(*map(F.lit, sorted(prefix)))))
-    # A text without any prefix word isn't cut at all.
-    has_prefix = F.col("w").rlike(" (?:" + "|".join(sorted(prefix)) + ") ")
-    return F.when(has_prefix, some)
+    return F.coalesce(some, F.array().cast("array<struct<block:int,own:array<string>>>"))
 
 
 def matches(cut: DataFrame, known: DataFrame) -> DataFrame:
@@ -114,8 +116,8 @@ def matches(cut: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def places(phrase: str) -> Column:
-    """Word numbers (from 0) at which the phrase's words stand consecutively in ``w``."""
-    ws, parts = F.split(F.trim("w"), " "), phrase.split(" ")
+    """Word numbers (from 0) at which the phrase's words stand consecutively in ``ws``."""
+    ws, parts = F.col("ws"), phrase.split(" ")
 
     def here(i: Column) -> Column:
         out = F.lit(True)
@@ -137,6 +139,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     worded = docs.select("doc_id", words(F.col("text").cast("string")).alias("w"))
     order = word_order(worded, templates)
     found = F.concat(*[_labelled(places(phrase), label) for phrase, label in PHRASES])
+    # Only texts that hold a phrase or a prefix word are cut into words. The array is a column of its
+    # own (by exploding an array of one): a lambda over places would cut the text again for each.
+    telling = F.col("w").rlike(" (?:" + "|".join(sorted(prefix_words(order, templates, threshold) | {p for p, _ in PHRASES})) + ") ")
+    cut_up = F.explode(F.array(F.when(telling, F.split(F.trim("w"), " "))))
+    worded = worded.select("doc_id", "w", cut_up.alias("ws"))
     n_words = F.when(F.trim("w") == "", 0).otherwise(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("w")))
     rows = staged(worded.select("doc_id", key.alias("key"), n_words.cast("long").alias("n_words"), found.alias("places"), blocks_of(order, templates, threshold).alias("blocks")), "scanned")
