@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import fresh, read, staged
 
 #: Words of a window, words that must be covered, and hashes that are sent to executors at most.
 WINDOW, RUN, MAX_HASHES = 8, 13, 4_000_000
@@ -186,8 +186,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
-    bad = staged(matches(docs, benchmark, **options), "leaks").select(F.coalesce("doc_id", F.lit("null")).alias("leaked_id")).distinct()
-    return docs.join(bad, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) == F.col("leaked_id"), "left_anti")
+    leaked = fresh(docs, "__leaked")
+    bad = staged(matches(docs, benchmark, **options), "leaks").select(F.coalesce("doc_id", F.lit("null")).alias(leaked)).distinct()
+    return docs.join(bad, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) == F.col(leaked), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

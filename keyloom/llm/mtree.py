@@ -13,7 +13,7 @@ Queries travel in blocks. A query first learns a safe k-th score from a bounded
 candidates, so it goes only to the pages whose bound reaches it.
 
 Cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with
-a null id; vectors are compared with those of the same length only; ties go to the smaller id;
+a null id; of vectors with different lengths the shared components count; ties go to the smaller id;
 repeated rows of one id are one candidate if their vectors are equal, and a query id that stands for
 several different vectors is answered for each of them; a query's own id is never its answer; an
 empty table gives an empty result.
@@ -152,19 +152,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     base = staged(vectors.select("vec_id", "v").distinct(), "vectors")
     asked = staged(queries.select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
-    lengths = [r[0] for r in base.select(F.size("v").alias("n")).distinct().collect()]
-    found = None
-    for n in lengths:
-        part = _one_length(spark, base.where(F.size("v") == n), asked.where(F.size("v") == n), k)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
-
-
-def _one_length(spark: SparkSession, base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    longest = max(1, base.agg(F.max(F.size("v"))).first()[0] or 0)
+    even = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v"))).alias("v")
+    base, asked = base.select("vec_id", even), asked.select("query_id", even)
     n, blocks = base.count(), -(-asked.count() // BLOCK)
     every = max(1, n // SAMPLE)
     drawn = base.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(every)) == 0).limit(2 * SAMPLE).toPandas()
     drawn = drawn if len(drawn) else base.limit(1).toPandas()
+    if not len(drawn):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample, sample_ids = _matrix(drawn["v"]), drawn["vec_id"].to_numpy()
     centres = _centres(sample, min(MAX_CENTRES, -(-n // PAGE)))
     fitted = spark.sparkContext.broadcast((centres, sample, sample_ids))
@@ -201,22 +197,23 @@ def _one_length(spark: SparkSession, base: DataFrame, asked: DataFrame, k: int)
             times = np.array(split)[page]
             go, page = np.repeat(go, times), np.repeat(page, times)
             salt = np.arange(len(go)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[go], "v": b["v"].to_numpy()[go], "floor": floor[go], "centre": which[page], "salt": salt, "block": b["block"].to_numpy()[go]})
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[go], "asked": b["asked"].to_numpy()[go], "v": b["v"].to_numpy()[go], "floor": floor[go], "centre": which[page], "salt": salt, "block": b["block"].to_numpy()[go]})
 
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(max(1, blocks))))
-    sent = numbered.mapInPandas(send, "query_id long, v array<long>, floor double, centre long, salt long, block long")
+    # ``asked`` tells apart the vectors that one id may stand for.
+    numbered = asked.withColumn("asked", F.xxhash64("query_id", "v")).withColumn("block", F.pmod("asked", F.lit(max(1, blocks))))
+    sent = numbered.mapInPandas(send, "query_id long, asked long, v array<long>, floor double, centre long, salt long, block long")
     copies = paged.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))).cast("array<bigint>")))
 
     def answer(page: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(page) or not len(some):
-            return pd.DataFrame({"query_id": [], "v": [], "vec_id": [], "score": []})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "asked", "vec_id", "score")})
         x, ids = _matrix(page["v"]), page["vec_id"].to_numpy()
         at, row, score = search(build(x), x, ids, _matrix(some["v"]), some["query_id"].to_numpy(), some["floor"].to_numpy(), k)
-        return pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "v": some["v"].to_numpy()[at], "vec_id": ids[row], "score": score.astype(np.int64)})
+        return pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "asked": some["asked"].to_numpy()[at], "vec_id": ids[row], "score": score.astype(np.int64)})
 
     keys = ("centre", "salt", "block")
-    found = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(answer, "query_id long, v array<long>, vec_id long, score long")
-    best = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+    found = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(answer, "query_id long, asked long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -234,7 +231,7 @@ WITH e AS (
 ),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
   FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, read
+from .common import add_columns, fresh, read
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Documents whose windows train at most (about), passes over the training set, step size, L2 penalty.
@@ -335,9 +335,9 @@ def redact(docs: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFrame:
             out.append("".join([*parts, t[upto:]]))
         return [out]
 
-    columns = docs.columns
-    masked = add_columns(docs, "text", "`__masked` string", run)
-    return masked.withColumn("text", F.col("__masked")).select(*columns)
+    columns, name = docs.columns, fresh(docs, "__masked")
+    masked = add_columns(docs, "text", f"`{name}` string", run)
+    return masked.withColumn("text", F.col(name)).select(*columns)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

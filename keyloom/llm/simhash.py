@@ -249,7 +249,8 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written out first: a root of many members is then joined in slices.
+    firsts = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
     ids = staged(rooted.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("key"), "component_id"), "groups")
     return prints.join(ids, prints["fp"] == ids["key"], "left").select("doc_id", "fp", "component_id")
 
@@ -324,10 +325,12 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     ids = staged(keyed.select(F.col(key).alias("id"), order.alias("place")), "places")
     placed = staged(groups.distinct().join(ids.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), F.col("key") == F.col("id")).select("key", "root", "place", "n"), "placed")
     firsts = placed.groupBy("root").agg(F.min(F.struct("place", "key")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("kept"))
-    judged = staged(placed.join(firsts, F.col("root") == F.col("of")).select("key", "n", (F.col("key") == F.col("kept")).alias("keep")), "judged")
+    judged = staged(placed.join(staged(firsts, "firsts"), F.col("root") == F.col("of")).select("key", "n", (F.col("key") == F.col("kept")).alias("keep")), "judged")
     # Most rows stay: those to go, and the few that stand for repeats, are the small side.
-    once = keyed.join(judged.where("not keep or n > 1").select(F.col("key").alias("gone")), F.col(key) == F.col("gone"), "left_anti")
-    repeats = keyed.join(judged.where("keep and n > 1").select(F.col("key").alias("again")), F.col(key) == F.col("again"), "left_semi").dropDuplicates([key])
+    other = fresh(keyed, "__other")
+    named = lambda which: judged.where(which).select(F.col("key").alias(other))
+    once = keyed.join(named("not keep or n > 1"), F.col(key) == F.col(other), "left_anti")
+    repeats = keyed.join(named("keep and n > 1"), F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
     return once.select(*columns).union(repeats.select(*columns))
 
 

@@ -11,8 +11,8 @@ the labelled sample links to either label; weights come from follow-the-regulari
 The sample is bounded by ``TRAIN_ROWS``; everything else is counted over all rows.
 
 Cases: a null text counts as empty; an empty text gets the intercept's score; rows with a null id or
-a null label train nothing (a null id is in no test fold); repeated rows are each scored; without any
-usable label every score is 0; an empty table gives an empty result; other columns are ignored.
+a null label train nothing (a null id is in no test fold); repeated rows are each scored; unless both labels
+occur nothing can be learned and every score is (next to) 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 1e-3
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "gq", "2": "z", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 SEPARATORS = frozenset(" .-_*~'·")
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…–—¿¡"
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_@$!|][ .\-_*~·]{1,3}){2,}[^\W_@$!|](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~·]{1,3}){2,}[^\W_](?![^\W_])")
 _RUN = re.compile(r"(.)\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -132,9 +132,11 @@ def restored_words(text: str | None, lm: np.ndarray, known: dict[str, tuple[str,
     low = (text or "").lower()
     out: set[str] = set()
     for m in _SPACED.finditer(low):
-        joined = m[0]
-        if sum(c.isalnum() for c in joined) >= 3:
-            out.add(decode(joined, lm))
+        # A one-letter word may stand before or after the spaced-out one.
+        letters = [i for i, c in enumerate(m[0]) if c not in SEPARATORS]
+        for lo, hi in ((0, len(m[0])), (letters[1], len(m[0])), (0, letters[-2] + 1), (letters[1], letters[-2] + 1)):
+            if sum(lo <= i < hi for i in letters) >= 3:
+                out.add(decode(m[0][lo:hi], lm))
     if len(known) > 200_000:
         known.clear()
     for token in set(low.split()):
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> _Model:
     rows = staged(met.select("toxic", "text").mapInPandas(featured, "toxic int, ws array<string>"), "labelled")
     n1, n = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not n or n1 in (0, n):
-        return _Model(lm=lm, weights={}, bias=-30.0 if not n1 else 30.0)
+        return _Model(lm=lm, weights={}, bias=-30.0)
     counts = rows.select("toxic", F.explode("ws").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("m"))
     a, m, p = F.col("a"), F.col("m"), n1 / n
     chi2 = (a - m * p) * (a - m * p) / (m * p * (1 - p)) / F.greatest(F.lit(1e-6), 1 - m / n)
