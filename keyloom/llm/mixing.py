@@ -7,8 +7,8 @@ children. Each leaf then fills its budget with whole epochs and a prefix of one
 seeded for each epoch: documents are taken while the running token count stays within the budget.
 
 The prefix is found without sorting a leaf in one task: document order is the order of seeded hashes;
-hashes fall into ``BUCKETS`` ranges; token sums of the ranges (a small table) give each range's start, so
-only rows of a range in which a leaf's budget ends are ordered, and ranges are small.
+hashes fall into ``RANGES`` ranges of ``RANGES`` finer ones each; token sums of the ranges (a small table)
+give each range's start, so only rows of a range in which a leaf's budget ends are ordered.
 
 Cases: null or empty texts have no tokens and are in every selected prefix they sort into (they cost
 nothing); null languages and sources form a leaf named ``unknown``; repeated rows are separate
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import read, staged
 
-#: Hash ranges of a leaf, and the most leaves that the driver plans for.
-BUCKETS, MAX_LEAVES = 4096, 100_000
+#: Hash ranges of a leaf on each of two levels, the hashes' span, and the most leaves that the driver plans for.
+RANGES, SPAN, MAX_LEAVES = 256, 1 << 60, 100_000
 
 
 @dataclass(frozen=True)
@@ -120,16 +120,21 @@ def mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     known = F.broadcast(spark.createDataFrame(budgets, "domain string, lang string, source string, leaf_budget long, whole long, rest long"))
     sized = rows.join(known, leaf).where("leaf_budget > 0")
     ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("digest"))
-    last = sized.where("rest > 0").withColumn("place", order_key(F.col("whole"), ident, plan.seed)).withColumn("bucket", F.expr(f"place div {(1 << 60) // BUCKETS}"))
-    sums = last.groupBy(*leaf, "rest", "bucket").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*leaf, "rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")
-    starts = starts.where("start <= rest").withColumn("whole_bucket", F.col("start") + F.col("n") <= F.col("rest"))
-    # One row for each leaf and range: at most leaves * BUCKETS.
-    met = last.drop("rest").join(staged(starts, "starts"), [*leaf, "bucket"])
-    inside = met.where("whole_bucket")
-    within = Window.partitionBy(*leaf, "bucket").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = met.where("not whole_bucket").withColumn("upto", F.col("start") + F.sum("tokens").over(within)).where("upto <= rest")
+    place = order_key(F.col("whole"), ident, plan.seed)
+    last = sized.where("rest > 0").withColumn("place", place).withColumn("coarse", F.expr(f"place div {SPAN // RANGES}")).withColumn("fine", F.expr(f"place % {SPAN // RANGES} div {SPAN // RANGES // RANGES}"))
+    # Two levels of ranges: each window below runs over at most RANGES rows.
+    fine = last.groupBy(*leaf, "rest", "coarse", "fine").agg(F.sum("tokens").alias("n"))
+    coarse = fine.groupBy(*leaf, "coarse").agg(F.sum("n").alias("n"))
+    before = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = coarse.select(*leaf, "coarse", before(leaf, "coarse").alias("base"))
+    within = fine.select(*leaf, "rest", "coarse", "fine", before([*leaf, "coarse"], "fine").alias("lead"), "n")
+    starts = within.join(bases, [*leaf, "coarse"]).select(*leaf, "rest", "coarse", "fine", (F.col("base") + F.col("lead")).alias("start"), "n")
+    starts = starts.where("start <= rest").withColumn("whole_range", F.col("start") + F.col("n") <= F.col("rest"))
+    # One row for each leaf and range: at most leaves * RANGES ** 2, and no more than documents.
+    met = last.drop("rest").join(staged(starts, "starts"), [*leaf, "coarse", "fine"])
+    inside = met.where("whole_range")
+    upto = F.sum("tokens").over(Window.partitionBy(*leaf, "coarse", "fine").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = met.where("not whole_range").withColumn("upto", F.col("start") + upto).where("upto <= rest")
     columns = ["doc_id", *leaf, "epoch", "tokens", "leaf_budget"]
     partial = inside.withColumn("epoch", F.col("whole")).select(*columns).union(cut.withColumn("epoch", F.col("whole")).select(*columns))
     full = sized.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*columns)
