@@ -70,10 +70,11 @@ def _open(tag: str, attributes: str) -> _Node:
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
                 mark += f"{name}={value};"
-                bad = bad or not _NAMED.isdisjoint(_SPLIT.split(value))
+                named = _NAMED.intersection(_SPLIT.split(value))
+                bad = bad or ("header" if named == {"header"} else bool(named))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 bad = True
-    return _Node(tag, mark, bad and tag not in ("html", "body", "article", "main"))
+    return _Node(tag, mark, False if tag in ("html", "body", "article", "main") else bad)
 
 
 def parse(html: str) -> _Node:
@@ -118,6 +119,8 @@ def parse(html: str) -> _Node:
                     del stack[i:]
                     break
         node = _open(tag, m[3])
+        if node.bad == "header":  # an article's own header has its title
+            node.bad = not any(n.tag in ("article", "main") for n in stack)
         stack[-1].kids.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)

@@ -276,7 +276,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radi
         return [nodes, np.array(fps, np.uint64).view(np.int64), samples_]
 
     rows = staged(add_columns(docs.select("key", F.col("text").cast("string")), "text", "node string, fp long, samples array<long>", prints).drop("text"), "rows")
-    texts = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "texts")
+    texts = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.min("key").alias("key")), "texts")
     by_print = texts.groupBy("fp").agg(F.min("node").alias("node"))
     tree = links(staged(by_print, "by-print"), radius)
     whole = texts.select("fp", "node").join(by_print.select(F.col("fp").alias("k"), F.col("node").alias("other")), F.col("fp") == F.col("k")).select("node", "other")
@@ -289,7 +289,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radi
 
     # Only texts that are proposed are read again: for their whole shingle sets.
     wanted = staged(proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
-    asked = staged(rows.join(wanted, F.col("node") == F.col("wanted"), "left_semi").groupBy("node").agg(F.min("key").alias("key")), "asked")
+    asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", "key"), "asked")
 
     def sets(texts_: list) -> list:
         return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
