@@ -2,7 +2,7 @@
 
 Texts and benchmark items become sequences of canonical words: numbers turn into ``<num>``, units after
 a number into ``<unit>``, capitalised words inside a sentence into ``<name>``, everything else is
-lower-cased. Windows of ``WINDOW`` canonical words are hashed and hash-joined. A document and an item
+lower-cased; a sequence with names is also read with its names as plain words. Windows of ``WINDOW`` canonical words are hashed and hash-joined. A document and an item
 that share windows along one diagonal (document place minus item place) share a passage; its slots
 must be filled consistently: where the item repeats a number or a name, so must the document, and
 different ones must stay different. So a question with other numbers in it is still found, and a
@@ -73,6 +73,17 @@ def canonical(text: str | None) -> tuple[list[str], list[str]]:
     return words, slots
 
 
+def named(words: list[str], slots: list[str]) -> list[tuple[list[str], list[str]]]:
+    """The sequence as it is and, if it has names, once more with the names as plain words.
+
+    So an item is also found where its names were kept but lost their capitals, or others gained them.
+    """
+    if NAME not in words:
+        return [(words, slots)]
+    plain = [s if w == NAME else w for w, s in zip(words, slots, strict=True)]
+    return [(words, slots), (plain, ["" if w == NAME else s for w, s in zip(words, slots, strict=True)])]
+
+
 def word_ids(words: list[str], known: dict[str, int]) -> np.ndarray:
     if len(known) > 500_000:
         known.clear()
@@ -99,15 +110,14 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 def item_windows(item_id: int, text: str | None, window: int = WINDOW) -> Iterator[tuple]:
     """(hash, item_id, place, width, n_words, slots) of an item's usable windows."""
-    words, slots = canonical(text)
-    width = min(window, len(words))
-    if not width:
-        return
-    hashes = window_hashes(word_ids(words, {}), width)
-    literal = [not s for s in slots]
-    good = [p for p in range(len(hashes)) if 2 * sum(literal[p : p + width]) >= width]
-    for p in good:
-        yield int(hashes[p]), item_id, p, width, len(words), slots[p : p + width]
+    seen = set()
+    for words, slots in named(*canonical(text)):
+        width = min(window, len(words))
+        hashes = window_hashes(word_ids(words, {}), width) if width else ()
+        for p, h in enumerate(hashes):
+            if (int(h), p) not in seen and 2 * sum(not x for x in slots[p : p + width]) >= width:
+                seen.add((int(h), p))
+                yield int(h), item_id, p, width, len(words), slots[p : p + width]
 
 
 _WINDOWS = "hash long, item_id long, item_at int, width int, n_words int, item_slots array<string>"
@@ -137,18 +147,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
         for b in batches:
             out: list[tuple] = []
             for i, text in zip(b["doc_id"], b["text"], strict=True):
-                words, slots = canonical(text)
-                ids = word_ids(words, known)
-                for width in widths:
-                    h = window_hashes(ids, width)
-                    if listed is None:
-                        at = np.arange(len(h))
-                    elif len(h) and len(listed):
-                        near = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-                        at = np.flatnonzero(listed[near] == h)
-                    else:
-                        at = []
-                    out += [(i, int(h[p]), int(p), slots[p : p + width]) for p in at]
+                seen: set[tuple[int, int]] = set()
+                for words, slots in named(*canonical(text)):
+                    ids = word_ids(words, known)
+                    for width in widths:
+                        h = window_hashes(ids, width)
+                        if listed is None:
+                            at = np.arange(len(h))
+                        elif len(h) and len(listed):
+                            near = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                            at = np.flatnonzero(listed[near] == h)
+                        else:
+                            at = []
+                        for p in at:
+                            if (int(h[p]), int(p)) not in seen:
+                                seen.add((int(h[p]), int(p)))
+                                out.append((i, int(h[p]), int(p), slots[p : p + width]))
             yield pd.DataFrame(out, columns=["doc_id", "hash", "doc_at", "doc_slots"])
 
     places = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(found, "doc_id string, hash long, doc_at int, doc_slots array<string>")

@@ -368,3 +368,10 @@ def test_pipeline_stage_by_stage(spark):
     assert masked.count() == docs.count() and masked.dtypes == docs.dtypes
     assert all(not secrets.base_spans(r["text"]) for r in masked.collect())
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_names_without_capitals_and_words_with_them(spark):
+    item = "Yesterday the mayor of Paris asked Maria to count every red bicycle that stood near the old town hall."
+    docs = [item.lower(), item.title(), item.upper(), item.replace("Paris", "Rome").replace("Maria", "Anna"), "Yesterday the mayor spoke."]
+    got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {r["doc_id"]: r["contaminated"] for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
