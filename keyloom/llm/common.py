@@ -46,6 +46,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """The batches in slices of at most ``rows`` rows: what Python makes of one stays small."""
+    for b in batches:
+        n = b.num_rows if isinstance(b, pa.RecordBatch) else len(b)
+        for at in range(0, n, rows):
+            yield b.slice(at, rows) if isinstance(b, pa.RecordBatch) else b.iloc[at : at + rows]
+
+
 def add_columns(df: DataFrame, source: str, ddl: str, make: Callable[[list], list]) -> DataFrame:
     """``df`` with the columns of ``ddl``, made from batches of the column ``source``.
 
@@ -55,7 +63,7 @@ def add_columns(df: DataFrame, source: str, ddl: str, make: Callable[[list], lis
     added = StructType.fromDDL(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = make(b.column(b.schema.get_field_index(source)).to_pylist())
             new = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(made, added.fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added.names])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, staged
+from .common import fresh, read, slices, staged
 
 #: Words of a window, words that must be covered, and hashes that are sent to executors at most.
 WINDOW, RUN, MAX_HASHES = 8, 13, 4_000_000
@@ -85,7 +85,7 @@ def named(words: list[str], slots: list[str]) -> list[tuple[list[str], list[str]
 
 
 def word_ids(words: list[str], known: dict[str, int]) -> np.ndarray:
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     out = []
     for w in words:
@@ -144,7 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listed, known = hashes.value, {}
-        for b in batches:
+        for b in slices(batches, 128):
             out: list[tuple] = []
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 seen: set[tuple[int, int]] = set()

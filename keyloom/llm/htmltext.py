@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, read, staged
+from .common import add_columns, read, slices, staged
 from .urlfilter import split_url
 
 MIN_PAGES, MIN_SHARE = 3, 0.2
@@ -209,7 +209,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """host, hashes: the template subtrees of each host (page columns url, html)."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             # The row for the page itself (null) counts the host's pages.
             hashes = [[None, *subtree_hashes(h)] for h in b["html"]]
             flat = pd.Series([x for hs in hashes for x in hs], dtype="Int64")

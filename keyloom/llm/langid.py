@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, read
+from .common import add_columns, held_out, read, slices
 
 #: n-gram length, hashed columns, and documents of each language that train the weights at most.
 N, BUCKETS, PER_LANGUAGE = 3, 1 << 15, 800
@@ -133,7 +133,7 @@ def train(labelled: DataFrame) -> dict:
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.element_at(every, F.col("lang"))) == 0)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             found = [gram_counts(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [a.astype(np.int32) for a, _ in found], "c": [c.astype(np.int32) for _, c in found]})
 
