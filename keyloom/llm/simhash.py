@@ -209,9 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        # Minima are written out before they are joined, so that a node of many edges is joined in slices.
+        least = staged(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
         large = staged(both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        low = staged(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "low")
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select("v", F.col("m").alias("r"))
         edges = staged(small.select(F.col("v").alias("u"), F.col("r").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
 
