@@ -147,9 +147,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
         for b in slices(batches, 128):
             out: list[tuple] = []
             for i, text in zip(b["doc_id"], b["text"], strict=True):
+                words, slots = canonical(text)
+                forms = [word_ids(words, known)]
+                if names := [k for k, w in enumerate(words) if w == NAME]:
+                    # The second reading differs at the names alone.
+                    forms.append(forms[0].copy())
+                    forms[1][names] = word_ids([slots[k] for k in names], known)
                 seen: set[tuple[int, int]] = set()
-                for words, slots in named(*canonical(text)):
-                    ids = word_ids(words, known)
+                for form, ids in enumerate(forms):
                     for width in widths:
                         h = window_hashes(ids, width)
                         if listed is None:
@@ -162,7 +167,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
                         for p in at:
                             if (int(h[p]), int(p)) not in seen:
                                 seen.add((int(h[p]), int(p)))
-                                out.append((i, int(h[p]), int(p), slots[p : p + width]))
+                                filled = ["" if form and words[k] == NAME else slots[k] for k in range(p, p + width)]
+                                out.append((i, int(h[p]), int(p), filled))
             yield pd.DataFrame(out, columns=["doc_id", "hash", "doc_at", "doc_slots"])
 
     places = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(found, "doc_id string, hash long, doc_at int, doc_slots array<string>")
