@@ -18,6 +18,7 @@ the group has none); an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fresh, staged
+from .common import add_columns, fresh, slices, staged
 
 #: Members of a leaf that the tree aims at, and sampled fingerprints for each leaf.
 LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
 #: Cells of a distance matrix that are compared at once.
 CELLS = 1 << 21
+#: One text in so many is read for the order of shingles; that many common shingles are sent to executors at most.
+SAMPLED, MAX_COMMON = 8, 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
@@ -256,15 +259,115 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(ids, prints["fp"] == ids["key"], "left").select("doc_id", "fp", "component_id")
 
 
+def prefix_lengths(n: int, threshold: float) -> tuple[int, int]:
+    """How many of a set's ``n`` tokens, in an order that all sets share, a similar set must meet.
+
+    The first is for partners of any size, the second for partners that are no smaller.
+    """
+    return n - math.ceil(threshold * n - 1e-9) + 1, n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts, sorted, and in how many texts of it: they only order prefixes."""
+
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width)[1]) for t in b["text"]]
+            yield pd.DataFrame({"token": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string")).distinct()
+    counts = some.mapInPandas(sampled, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    seen = counts.orderBy(F.desc("n"), "token").limit(MAX_COMMON).toPandas().sort_values("token")
+    return seen["token"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
+
+
+def rarest_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct shingles as longs, those of the fewest texts first, equal ones by value."""
+    tokens, counts = np.unique(hashes).view(np.int64), 0
+    listed, n = common
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
+        counts = np.where(listed[at] == tokens, n[at], 0)
+    return tokens[np.lexsort((tokens, np.broadcast_to(counts, tokens.shape)))]
+
+
+def prefix_candidates(docs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """node, other: all pairs of texts of different roots that may have a similarity of ``threshold``.
+
+    ``docs`` has key and text, ``texts`` has node, key (one row of the text) and root. In an order that
+    all texts share, similar ones meet in a shingle of their prefixes, at places that leave room for
+    the shingles they must share (length and positional filter). Pairs of one root are joined already:
+    shingles that only one root has are dropped, and for the others the rows of the root with
+    the most rows there are not compared with each other.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+
+    def prefixes(texts_: list) -> list:
+        tokens, sizes = [], []
+        for t in texts_:
+            ordered = rarest_first(shingle_hashes(t, width)[1], common.value)
+            sizes.append(len(ordered))
+            tokens.append(ordered[: prefix_lengths(len(ordered), threshold)[0]] if len(ordered) else ordered)
+        return [tokens, sizes]
+
+    named = texts.select(F.col("key").alias("of"), F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
+    cut = add_columns(docs.select("key", F.col("text").cast("string")), "text", "tokens array<long>, n int", prefixes).drop("text")
+    held = staged(cut.join(named, F.col("key") == F.col("of")).dropDuplicates(["key"]).select("id", "root", "n", "tokens"), "prefixes")
+    rows = held.select("id", "root", "n", F.posexplode("tokens").alias("at", "token"))
+    live = staged(rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.col("token").alias("live")), "live")
+    side = F.broadcast(live) if live.count() <= MAX_COMMON else live
+    met = staged(rows.join(side, F.col("token") == F.col("live")).drop("live"), "postings")
+    by_root = met.groupBy("token", "root").agg(F.count("*").alias("rows"))
+    most = staged(by_root.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("most")).withColumnRenamed("token", "of"), "most")
+    minor = staged(met.join(most, F.col("token") == F.col("of")).withColumn("minor", F.col("root") != F.col("most")).drop("of", "most"), "minor")
+    x = minor.where("minor").select(*[F.col(c).alias(f"{c}_x") for c in ("token", "id", "root", "n", "at")])
+    share = threshold / (1 + threshold)
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")) >= share * (F.col("n_x") + F.col("n")) - 1e-9
+    fits = F.least("n_x", "n") >= threshold * F.greatest("n_x", "n") - 1e-9
+    once = ~F.col("minor") | (F.col("id_x") < F.col("id"))
+    pairs = x.join(minor, (F.col("token_x") == F.col("token")) & (F.col("root_x") != F.col("root")) & fits & room & once)
+    found = staged(pairs.select(F.greatest("id_x", "id").alias("x"), F.least("id_x", "id").alias("y")).distinct(), "met")
+    names = lambda to, name: texts.select(F.xxhash64("node").alias(to), F.col("node").alias(name))
+    return found.join(names("x", "node"), "x").join(names("y", "other"), "y").select("node", "other")
+
+
+def close_pairs(docs: DataFrame, texts: DataFrame, proposed: DataFrame, width: int, threshold: float) -> DataFrame:
+    """u, v: the proposed pairs (node, other) whose whole shingle sets are similar."""
+    proposed = staged(proposed.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
+
+    # Only texts that are proposed are read again: for their whole shingle sets.
+    wanted = staged(proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
+    asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", "key"), "asked")
+
+    def sets(texts_: list) -> list:
+        return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
+
+    again = docs.select(F.col("key").alias("of"), F.col("text").cast("string")).join(asked, F.col("of") == F.col("key")).select("node", "text")
+    shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+    both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def close(pairs_: list) -> list:
+        out = []
+        for p in pairs_:
+            x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared >= threshold * (len(x) + len(y) - shared))
+        return [out]
+
+    checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
+    return staged(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2, samples: int = 12) -> DataFrame:
     """key, node, root of every row: texts whose shingle sets have a Jaccard similarity of ``threshold``.
 
     ``docs`` has key and text. ``node`` names a text's words, ``root`` its group. A whole text's SimHash
     moves by ten bits or so at a similarity of 0.8, a radius at which no triangle bound prunes. So
-    beside the tree's links within ``radius`` bits, texts are proposed that share the SimHash of one of
-    ``samples`` min-wise samples of three shingles (at 0.8 all but one pair in thousands do). A text
-    is proposed with the first and the last text of its sample's group, never with all; every
-    proposal is checked on the whole shingle sets.
+    groups are found in two steps. First, beside the tree's links within ``radius`` bits, texts are
+    proposed that share the SimHash of one of ``samples`` min-wise samples of three shingles, each with
+    the first and the last text of its sample's group. Then ``prefix_candidates`` proposes all
+    pairs of different groups that can be similar, so the first step only saves work. Every proposal is
+    checked on the whole shingle sets.
     """
 
     def prints(texts: list) -> list:
@@ -286,31 +389,13 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radi
     sampled = texts.select("node", F.posexplode("samples").alias("t", "s"))
     first = sampled.groupBy("t", "s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("n > 1")
     pairs = sampled.join(staged(first, "first"), ["t", "s"]).select("node", F.explode(F.array("lo", "hi")).alias("other"))
-    proposed = staged(whole.union(across).union(pairs).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
-
-    # Only texts that are proposed are read again: for their whole shingle sets.
-    wanted = staged(proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
-    asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", "key"), "asked")
-
-    def sets(texts_: list) -> list:
-        return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
-
-    again = docs.select(F.col("key").alias("of"), F.col("text").cast("string")).join(asked, F.col("of") == F.col("key")).select("node", "text")
-    shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
-    both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-
-    def close(pairs_: list) -> list:
-        out = []
-        for p in pairs_:
-            x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(shared >= threshold * (len(x) + len(y) - shared))
-        return [out]
-
-    checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
-    roots = components(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = roots.select(F.col("node").alias("member"), "root")
-    return rows.join(named, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    quick = close_pairs(docs, texts, whole.union(across).union(pairs), width, threshold)
+    joined = lambda roots: roots.select(F.col("node").alias("member"), "root")
+    so_far = texts.select("node", "key").join(joined(components(quick)), F.col("node") == F.col("member"), "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    so_far = staged(so_far, "so-far")
+    rest = close_pairs(docs, texts, prefix_candidates(docs, so_far, width, threshold), width, threshold)
+    roots = components(quick.union(rest))
+    return rows.join(joined(roots), F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

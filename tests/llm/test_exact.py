@@ -223,6 +223,38 @@ def test_similar_texts(spark):
     assert got == {find(i) for i in range(len(texts))}
 
 
+def test_similar_texts_of_common_boilerplate(spark):
+    rng = random.Random(81)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    common, texts = [word() for _ in range(160)], []
+    for i in range(160):
+        share = rng.choice([0.6, 0.7, 0.8, 0.85, 0.9])
+        own = [word() for _ in range(round(160 / share) - 160)]
+        texts.append(" ".join(common + own))
+        if i % 4 == 0:  # a pair near the threshold, whose edits both touch the boilerplate
+            for _ in range(2):
+                edited = common + own
+                for at in rng.sample(range(len(edited)), 2):
+                    edited[at] = word()
+                texts.append(" ".join(edited))
+    groups = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string"))
+    got = {r["key"]: r["root"] for r in groups.collect()}
+    sets = [set(simhash.shingle_hashes(t, 5)[1].tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert 1 < len(set(map(find, range(len(texts))))) < len(texts)
+    assert len({(got[i], find(i)) for i in got}) == len(set(got.values())) == len({find(i) for i in got})
+
+
 # -- 6 pages --------------------------------------------------------------------------------------
 
 
