@@ -16,8 +16,8 @@ The benchmark's window hashes are sent to the executors as a first filter while
 ``MAX_HASHES``; beyond that every window goes into the join.
 
 Cases: a null or empty text matches nothing, as does an item without words; repeated items each
-match; repeated or null document ids are judged together by id (null ids as one); an empty table on
-either side gives documents without matches; other columns are ignored.
+match; each text is judged by itself, also where ids are null or repeated; an empty table on either
+side gives documents without matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, read, slices, staged
@@ -133,8 +133,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.mapInPandas(run, _WINDOWS)
 
 
+def text_key() -> Column:
+    """One value for each id and text: what a leak belongs to."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.col("text").cast("string")))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, covered (words) for every document and item that share a consistent passage."""
+    """doc_id, item_id, covered (words), key (see ``text_key``) for every document and item that share a consistent passage."""
     spark = docs.sparkSession
     windows = staged(benchmark_windows(benchmark, window), "windows")
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # at most ``window`` of them
@@ -146,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
         listed, known = hashes.value, {}
         for b in slices(batches):
             out: list[tuple] = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
+            for i, key, text in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 words, slots = canonical(text)
                 forms = [word_ids(words, known)]
                 if names := [k for k, w in enumerate(words) if w == NAME]:
@@ -168,15 +173,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
                             if (int(h[p]), int(p)) not in seen:
                                 seen.add((int(h[p]), int(p)))
                                 filled = ["" if form and words[k] == NAME else slots[k] for k in range(p, p + width)]
-                                out.append((i, int(h[p]), int(p), filled))
-            yield pd.DataFrame(out, columns=["doc_id", "hash", "doc_at", "doc_slots"])
+                                out.append((i, key, int(h[p]), int(p), filled))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "hash", "doc_at", "doc_slots"])
 
-    places = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(found, "doc_id string, hash long, doc_at int, doc_slots array<string>")
+    keyed = docs.select(F.col("doc_id").cast("string"), text_key().alias("key"), F.col("text").cast("string"))
+    places = keyed.mapInPandas(found, "doc_id string, key string, hash long, doc_at int, doc_slots array<string>")
     side = F.broadcast(windows) if few else windows
     met = places.join(side, "hash").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     # A document may hold an item many times; each diagonal is judged by itself, windows first pooled
     # by their places so that no group is larger than an item.
-    group = ["doc_id", "item_id", "diagonal"]
+    group = ["doc_id", "key", "item_id", "diagonal"]
     pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != "")
     by = met.groupBy(*group).agg(
         F.collect_set("item_at").alias("places"), F.max("width").alias("width"), F.max("n_words").alias("n_words"),
@@ -191,24 +197,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
         lambda a, p: F.struct((a["n"] + F.col("width") - F.greatest(F.lit(0), a["upto"] - p)).alias("n"), (p + F.col("width")).alias("upto")),
     )["n"]
     consistent = (sides[0] == size) & (sides[1] == size)
-    judged = by.where(consistent).select("doc_id", "item_id", covered.alias("covered"), "n_words")
+    judged = by.where(consistent).select("doc_id", "key", "item_id", covered.alias("covered"), "n_words")
     kept = judged.where(F.col("covered") >= F.least(F.lit(run), F.col("n_words")))
-    return kept.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
+    return kept.groupBy("doc_id", "key", "item_id").agg(F.max("covered").alias("covered")).select("doc_id", "item_id", "covered", "key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted) for every row of ``docs``."""
-    hits = staged(matches(docs, benchmark, **options), "leaks").groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    hits = hits.select(F.coalesce("doc_id", F.lit("null")).alias("id"), "item_ids")
-    met = docs.select("doc_id").join(hits, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) == F.col("id"), "left")
+    hits = staged(matches(docs, benchmark, **options), "leaks").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    met = docs.select("doc_id", text_key().alias("of")).join(hits, F.col("of") == F.col("key"), "left")
     return met.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
     leaked = fresh(docs, "__leaked")
-    bad = staged(matches(docs, benchmark, **options), "leaks").select(F.coalesce("doc_id", F.lit("null")).alias(leaked)).distinct()
-    return docs.join(bad, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) == F.col(leaked), "left_anti")
+    bad = staged(matches(docs, benchmark, **options), "leaks").select(F.col("key").alias(leaked)).distinct()
+    return docs.join(bad, text_key() == F.col(leaked), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,6 +323,15 @@ def test_without_the_first_filter(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.matches(docs.limit(60), items).collect())) == [w for w in want if w[0] in {str(r["doc_id"]) for r in docs.limit(60).collect()}]
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    item = "A train leaves Paris at 3 pm with 40 people and reaches London after 3 hours with 40 bags on board today."
+    other = item.replace("3", "5").replace("40", "70")
+    rows = [(None, item), (None, other), (None, "nothing of it"), (None, None), (1, item), (1, "clean words"), (2, "clean words")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(decontaminate.clean(docs, items).collect(), key=str) == sorted((r for r in docs.collect() if r["text"] not in (item, other)), key=str)
+    assert sum(r["contaminated"] for r in decontaminate.contaminated(docs, items).collect()) == 3
+
+
 # -- 9 mixing -------------------------------------------------------------------------------------
 
 
