@@ -2,15 +2,18 @@
 
 Texts and benchmark items become sequences of canonical words: numbers turn into ``<num>``, units after
 a number into ``<unit>``, capitalised words inside a sentence into ``<name>``, everything else is
-lower-cased; a sequence with names is also read with its names as plain words. Windows of ``WINDOW`` canonical words are hashed and hash-joined. A document and an item
+lower-cased; a sequence with names is also read with its names as plain words, and one with numbers
+literally. Windows of ``WINDOW`` canonical words are hashed and hash-joined. A document and an item
 that share windows along one diagonal (document place minus item place) share a passage; its slots
 must be filled consistently: where the item repeats a number or a name, so must the document, and
 different ones must stay different. So a question with other numbers in it is still found, and a
 passage whose placeholders merely coincide is not.
 
-A document is contaminated by an item if a consistent diagonal has matched windows that cover at
-least ``RUN`` consecutive-window words, or the whole item if it is shorter. Windows with fewer than
-half literal words are not used.
+A document is contaminated by an item if matched windows of a consistent diagonal cover at least
+``RUN`` words, or the whole item if it is shorter. A diagonal that isn't consistent is judged by its stretches
+of adjacent windows: a stretch is cut at the slots that contradict others of it, and a piece of as many
+words is a leak, as are twice as many words that agree to the letter. Windows with fewer than
+half literal words are only used in the literal reading.
 
 The benchmark's window hashes are sent to the executors as a first filter while there are at most
 ``MAX_HASHES``; beyond that every window goes into the join.
@@ -23,6 +26,7 @@ side gives documents without matches; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, slices, staged
+from .common import add_columns, fresh, read, slices, staged
 
 #: Words of a window, words that must be covered, and hashes that are sent to executors at most.
 WINDOW, RUN, MAX_HASHES = 8, 13, 4_000_000
@@ -84,6 +88,12 @@ def named(words: list[str], slots: list[str]) -> list[tuple[list[str], list[str]
     return [(words, slots), (plain, ["" if w == NAME else s for w, s in zip(words, slots, strict=True)])]
 
 
+def readings(words: list[str], slots: list[str]) -> list[tuple[list[str], list[str]]]:
+    """Those of ``named`` and, if there are numbers, the sequence with whatever filled its slots as plain words."""
+    out = named(words, slots)
+    return [*out, ([s or w for w, s in zip(words, slots, strict=True)], [""] * len(words))] if NUM in words else out
+
+
 def word_ids(words: list[str], known: dict[str, int]) -> np.ndarray:
     if len(known) > 500_000:
         known.clear()
@@ -111,7 +121,7 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 def item_windows(item_id: int, text: str | None, window: int = WINDOW) -> Iterator[tuple]:
     """(hash, item_id, place, width, n_words, slots) of an item's usable windows."""
     seen = set()
-    for words, slots in named(*canonical(text)):
+    for words, slots in readings(*canonical(text)):
         width = min(window, len(words))
         hashes = window_hashes(word_ids(words, {}), width) if width else ()
         for p, h in enumerate(hashes):
@@ -120,6 +130,39 @@ def item_windows(item_id: int, text: str | None, window: int = WINDOW) -> Iterat
                 yield int(h), item_id, p, width, len(words), slots[p : p + width]
 
 
+def covered_words(windows: list[tuple[int, list[str], list[str]]], run: int, n_words: int) -> int:
+    """Words of a passage that matched windows (item place, item slots, document slots) of one diagonal cover; zero if it is no leak."""
+    slots, exact, covered = {}, set(), set()
+    for at, item, doc in windows:
+        covered.update(range(at, at + len(item)))
+        slots.update((at + k, pair) for k, pair in enumerate(zip(item, doc, strict=True)) if pair[0])
+        if list(item) == list(doc):
+            exact.update(range(at, at + len(item)))
+
+    def contrary(places: set[int]) -> set[int]:
+        """Slots whose filling another of the places contradicts."""
+        here = {k: slots[k] for k in places if k in slots}
+        pairs = set(here.values())
+        sides = [Counter(p[i] for p in pairs) for i in (0, 1)]
+        return {k for k, (x, y) in here.items() if sides[0][x] > 1 or sides[1][y] > 1}
+
+    def stretches(places: set[int]) -> list[set[int]]:
+        out, last = [], None
+        for k in sorted(places):
+            if last is None or k > last + 1:
+                out.append(set())
+            out[-1].add(k)
+            last = k
+        return out
+
+    need, found = min(run, n_words), [len(s) for s in stretches(exact) if len(s) >= 2 * run]
+    if not contrary(covered):
+        found.append(len(covered))
+    for stretch in stretches(covered):
+        found += [len(s) for s in stretches(stretch - contrary(stretch))]
+    return max((n for n in found if n >= need), default=0)
+
+
 _WINDOWS = "hash long, item_id long, item_at int, width int, n_words int, item_slots array<string>"
 
 
@@ -158,6 +201,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
                     # The second reading differs at the names alone.
                     forms.append(forms[0].copy())
                     forms[1][names] = word_ids([slots[k] for k in names], known)
+                if NUM in words:
+                    # The literal reading differs at every slot.
+                    filled_at = [k for k, x in enumerate(slots) if x]
+                    forms.append(forms[0].copy())
+                    forms[-1][filled_at] = word_ids([slots[k] for k in filled_at], known)
+                literal = len(forms) - 1 if NUM in words else None
                 seen: set[tuple[int, int]] = set()
                 for form, ids in enumerate(forms):
                     for width in widths:
@@ -172,7 +221,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
                         for p in at:
                             if (int(h[p]), int(p)) not in seen:
                                 seen.add((int(h[p]), int(p)))
-                                filled = ["" if form and words[k] == NAME else slots[k] for k in range(p, p + width)]
+                                filled = ["" if form == literal or form and words[k] == NAME else slots[k] for k in range(p, p + width)]
                                 out.append((i, key, int(h[p]), int(p), filled))
             yield pd.DataFrame(out, columns=["doc_id", "key", "hash", "doc_at", "doc_slots"])
 
@@ -183,22 +232,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
     # A document may hold an item many times; each diagonal is judged by itself, windows first pooled
     # by their places so that no group is larger than an item.
     group = ["doc_id", "key", "item_id", "diagonal"]
-    pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != "")
-    by = met.groupBy(*group).agg(
-        F.collect_set("item_at").alias("places"), F.max("width").alias("width"), F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-    )
-    sides = [F.size(F.array_distinct(F.col(f"pairs.{k}"))) for k in ("item_slots", "doc_slots")]
-    size = F.size("pairs")
-    # Words that matched windows cover: a word is covered if any window over it matched.
-    covered = F.aggregate(
-        F.array_sort("places"),
-        F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")),
-        lambda a, p: F.struct((a["n"] + F.col("width") - F.greatest(F.lit(0), a["upto"] - p)).alias("n"), (p + F.col("width")).alias("upto")),
-    )["n"]
-    consistent = (sides[0] == size) & (sides[1] == size)
-    judged = by.where(consistent).select("doc_id", "key", "item_id", covered.alias("covered"), "n_words")
-    kept = judged.where(F.col("covered") >= F.least(F.lit(run), F.col("n_words")))
+    by = met.groupBy(*group).agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("item_at", "item_slots", "doc_slots")).alias("windows"))
+
+    def judge(diagonals: list) -> list:
+        return [[covered_words([(w["item_at"], w["item_slots"], w["doc_slots"]) for w in d["windows"]], run, d["n_words"]) for d in diagonals]]
+
+    judged = add_columns(by.select("doc_id", "key", "item_id", F.struct("windows", "n_words").alias("seen")), "seen", "covered int", judge)
+    kept = judged.where("covered > 0")
     return kept.groupBy("doc_id", "key", "item_id").agg(F.max("covered").alias("covered")).select("doc_id", "item_id", "covered", "key")
 
 

@@ -332,6 +332,16 @@ def test_texts_of_one_id_are_judged_apart(spark):
     assert sum(r["contaminated"] for r in decontaminate.contaminated(docs, items).collect()) == 3
 
 
+def test_leaks_beside_other_numbers_and_of_numbers(spark):
+    literal = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    long = f"From 3 to 40 it is said that {literal} and then 3 more"
+    numbers = " ".join(str(i * i + 7) for i in range(20))
+    docs = [long.replace("3 more", "5 more"), f"so {numbers} it goes", " ".join(str(i * i + 8) for i in range(20)), " ".join(literal.split()[::2])]
+    items = [(1, long), (2, numbers), (3, "2 m and 3 m and 4 m and 5 m and 6 m and 7 m")]
+    got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in got.collect()} == {0: [1], 1: [2], 2: [], 3: []}
+
+
 # -- 9 mixing -------------------------------------------------------------------------------------
 
 
