@@ -1,9 +1,7 @@
-"""What several corpus operators need: tables staged in the shared folder, folds, columns."""
+"""What several corpus operators need: folds, columns, slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,24 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="keyloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from keyloom.staging import discard, scratch, staged  # noqa: F401
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(column: Column) -> Column:
