@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fresh, slices, staged
+from .common import add_columns, discard, fresh, scratch, slices, staged
 
 #: Members of a leaf that the tree aims at, and sampled fingerprints for each leaf.
 LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
@@ -204,20 +204,23 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of edges (u, v), by alternating stars."""
-    edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are written out before they are joined, so that a node of many edges is joined in slices.
-        least = staged(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
-        large = staged(both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = staged(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "low")
-        small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select("v", F.col("m").alias("r"))
-        edges = staged(small.select(F.col("v").alias("u"), F.col("r").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+    spark = edges.sparkSession
+    with scratch(spark) as keep:
+        edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        seen = None
+        while True:
+            state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if state == seen or not state[0]:
+                return keep(edges).select(F.col("u").alias("node"), F.col("v").alias("root"))
+            seen = state
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # Minima are written out before they are joined, so that a node of many edges is joined in slices.
+            least = staged(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
+            large = staged(both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            low = staged(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "low")
+            small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select("v", F.col("m").alias("r"))
+            old, edges = edges, staged(small.select(F.col("v").alias("u"), F.col("r").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+            discard(spark, old, least, large, low)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -249,13 +252,14 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
-    prints = staged(fingerprints(docs, width), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    # Written out first: a root of many members is then joined in slices.
-    firsts = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
-    ids = staged(rooted.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("key"), "component_id"), "groups")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(staged(fingerprints(docs, width), "prints"))
+        distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        roots = components(links(distinct, radius))
+        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        # Written out first: a root of many members is then joined in slices.
+        firsts = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
+        ids = keep(staged(rooted.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("key"), "component_id"), "groups"))
     return prints.join(ids, prints["fp"] == ids["key"], "left").select("doc_id", "fp", "component_id")
 
 
@@ -291,111 +295,119 @@ def rarest_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> n
     return tokens[np.lexsort((tokens, np.broadcast_to(counts, tokens.shape)))]
 
 
-def prefix_candidates(docs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """node, other: all pairs of texts of different roots that may have a similarity of ``threshold``.
+def prefix_candidates(held: DataFrame, threshold: float) -> DataFrame:
+    """x, y: all pairs of texts of different roots that may have a similarity of ``threshold``.
 
-    ``docs`` has key and text, ``texts`` has node, key (one row of the text) and root. In an order that
-    all texts share, similar ones meet in a shingle of their prefixes, at places that leave room for
-    the shingles they must share (length and positional filter). Pairs of one root are joined already:
-    shingles that only one root has are dropped, and for the others the rows of the root with
-    the most rows there are not compared with each other.
+    ``held`` has id, root, n (shingles), tokens (the prefix, rarest shingles first) and index (how many of
+    them a partner that is no smaller must meet). Similar texts meet in a shingle that is in the
+    smaller one's index part and in the larger one's prefix, at places that leave room for the shingles they
+    must share (length and positional filter). Pairs of one root are joined already: shingles that only one
+    root has are dropped, and of the others the root with the most rows isn't compared with itself.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
-
-    def prefixes(texts_: list) -> list:
-        tokens, sizes = [], []
-        for t in texts_:
-            ordered = rarest_first(shingle_hashes(t, width)[1], common.value)
-            sizes.append(len(ordered))
-            tokens.append(ordered[: prefix_lengths(len(ordered), threshold)[0]] if len(ordered) else ordered)
-        return [tokens, sizes]
-
-    named = texts.select(F.col("key").alias("of"), F.xxhash64("node").alias("id"), F.xxhash64("root").alias("root"))
-    cut = add_columns(docs.select("key", F.col("text").cast("string")), "text", "tokens array<long>, n int", prefixes).drop("text")
-    held = staged(cut.join(named, F.col("key") == F.col("of")).dropDuplicates(["key"]).select("id", "root", "n", "tokens"), "prefixes")
-    rows = held.select("id", "root", "n", F.posexplode("tokens").alias("at", "token"))
-    live = staged(rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.col("token").alias("live")), "live")
+    postings = held.select("id", "root", "n", "index", F.posexplode("tokens").alias("at", "token"))
+    # Most shingles are one text's own; counts leave the tasks small.
+    counts = postings.groupBy("token").agg(F.count("*").alias("c"), F.max(F.col("at") < F.col("index")).alias("starts"))
+    live = staged(counts.where("c > 1 and starts").select(F.col("token").alias("live")), "live")
     side = F.broadcast(live) if live.count() <= MAX_COMMON else live
-    met = staged(rows.join(side, F.col("token") == F.col("live")).drop("live"), "postings")
+    met = staged(postings.join(side, F.col("token") == F.col("live")).drop("live"), "postings")
     by_root = met.groupBy("token", "root").agg(F.count("*").alias("rows"))
-    most = staged(by_root.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("most")).withColumnRenamed("token", "of"), "most")
-    minor = staged(met.join(most, F.col("token") == F.col("of")).withColumn("minor", F.col("root") != F.col("most")).drop("of", "most"), "minor")
-    x = minor.where("minor").select(*[F.col(c).alias(f"{c}_x") for c in ("token", "id", "root", "n", "at")])
+    most = by_root.groupBy(F.col("token").alias("of")).agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    size = F.floor(F.log("n") / -math.log(threshold) + 1e-9).cast("int")
+    shared = staged(met.join(staged(most.drop("roots"), "most"), F.col("token") == F.col("of")).select("token", "id", "root", "n", "index", "at", size.alias("size"), (F.col("root") != F.col("most")).alias("minor")), "shared")
+    # A partner of at most 1 / threshold times the size is in the same class of sizes or the next.
+    first = shared.where(F.col("at") < F.col("index")).select(*[F.col(c).alias(f"{c}_x") for c in ("token", "id", "root", "n", "at", "minor")], F.explode(F.array("size", F.col("size") + 1)).alias("size_x"))
     share = threshold / (1 + threshold)
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")) >= share * (F.col("n_x") + F.col("n")) - 1e-9
-    fits = F.least("n_x", "n") >= threshold * F.greatest("n_x", "n") - 1e-9
-    once = ~F.col("minor") | (F.col("id_x") < F.col("id"))
-    pairs = x.join(minor, (F.col("token_x") == F.col("token")) & (F.col("root_x") != F.col("root")) & fits & room & once)
-    found = staged(pairs.select(F.greatest("id_x", "id").alias("x"), F.least("id_x", "id").alias("y")).distinct(), "met")
-    names = lambda to, name: texts.select(F.xxhash64("node").alias(to), F.col("node").alias(name))
-    return found.join(names("x", "node"), "x").join(names("y", "other"), "y").select("node", "other")
+    order = (F.col("n_x") < F.col("n")) | (F.col("n_x") == F.col("n")) & (F.col("id_x") < F.col("id"))
+    fits = (F.col("token_x") == F.col("token")) & (F.col("size_x") == F.col("size")) & (F.col("root_x") != F.col("root")) & (F.col("n_x") >= threshold * F.col("n") - 1e-9) & room & order
+    pairs = first.where("minor_x").join(shared, fits).select("id_x", "id").union(first.where("not minor_x").join(shared.where("minor"), fits).select("id_x", "id"))
+    return pairs.select(F.greatest("id_x", "id").alias("x"), F.least("id_x", "id").alias("y")).distinct()
 
 
 def close_pairs(docs: DataFrame, texts: DataFrame, proposed: DataFrame, width: int, threshold: float) -> DataFrame:
     """u, v: the proposed pairs (node, other) whose whole shingle sets are similar."""
-    proposed = staged(proposed.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
-
-    # Only texts that are proposed are read again: for their whole shingle sets.
-    wanted = staged(proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
-    asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", "key"), "asked")
+    with scratch(docs.sparkSession) as keep:
+        proposed = staged(proposed.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
+        # Only texts that are proposed are read again: for their whole shingle sets.
+        wanted = proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", F.col("key").alias("of")), "asked")
 
-    def sets(texts_: list) -> list:
-        return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
+        def sets(texts_: list) -> list:
+            return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
 
-    again = docs.select(F.col("key").alias("of"), F.col("text").cast("string")).join(asked, F.col("of") == F.col("key")).select("node", "text")
-    shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
-    both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        again = docs.select("key", F.col("text").cast("string")).join(asked, F.col("key") == F.col("of")).select("node", "text")
+        shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+        both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
-    def close(pairs_: list) -> list:
-        out = []
-        for p in pairs_:
-            x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(shared >= threshold * (len(x) + len(y) - shared))
-        return [out]
+        def close(pairs_: list) -> list:
+            out = []
+            for p in pairs_:
+                x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared >= threshold * (len(x) + len(y) - shared))
+            return [out]
 
-    checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
-    return staged(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
+        checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
+        return keep(staged(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close"))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2, samples: int = 12) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2, samples: int = 4) -> DataFrame:
     """key, node, root of every row: texts whose shingle sets have a Jaccard similarity of ``threshold``.
 
     ``docs`` has key and text. ``node`` names a text's words, ``root`` its group. A whole text's SimHash
     moves by ten bits or so at a similarity of 0.8, a radius at which no triangle bound prunes. So
     groups are found in two steps. First, beside the tree's links within ``radius`` bits, texts are
     proposed that share the SimHash of one of ``samples`` min-wise samples of three shingles, each with
-    the first and the last text of its sample's group. Then ``prefix_candidates`` proposes all
+    the first text of its sample's group. Then ``prefix_candidates`` proposes all
     pairs of different groups that can be similar, so the first step only saves work. Every proposal is
     checked on the whole shingle sets.
     """
-
-    def prints(texts: list) -> list:
-        nodes, fps, samples_ = [], [], []
-        for t in texts:
-            words, h = shingle_hashes(t, width)
-            nodes.append(hashlib.md5(words).hexdigest())
-            fps.append(majority(h))
-            samples_.append(sample_prints(h, samples).view(np.int64))
-        return [nodes, np.array(fps, np.uint64).view(np.int64), samples_]
-
-    rows = staged(add_columns(docs.select("key", F.col("text").cast("string")), "text", "node string, fp long, samples array<long>", prints).drop("text"), "rows")
-    texts = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.min("key").alias("key")), "texts")
-    by_print = texts.groupBy("fp").agg(F.min("node").alias("node"))
-    tree = links(staged(by_print, "by-print"), radius)
-    whole = texts.select("fp", "node").join(by_print.select(F.col("fp").alias("k"), F.col("node").alias("other")), F.col("fp") == F.col("k")).select("node", "other")
-    ends = staged(by_print.select("fp", F.col("node").alias("name")), "names")
-    across = tree.join(ends, F.col("u") == F.col("fp")).select("v", F.col("name").alias("node")).join(ends, F.col("v") == F.col("fp")).select("node", F.col("name").alias("other"))
-    sampled = texts.select("node", F.posexplode("samples").alias("t", "s"))
-    first = sampled.groupBy("t", "s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    pairs = sampled.join(staged(first, "first"), ["t", "s"]).select("node", F.explode(F.array("lo", "hi")).alias("other"))
-    quick = close_pairs(docs, texts, whole.union(across).union(pairs), width, threshold)
-    joined = lambda roots: roots.select(F.col("node").alias("member"), "root")
-    so_far = texts.select("node", "key").join(joined(components(quick)), F.col("node") == F.col("member"), "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    so_far = staged(so_far, "so-far")
-    rest = close_pairs(docs, texts, prefix_candidates(docs, so_far, width, threshold), width, threshold)
-    roots = components(quick.union(rest))
-    return rows.join(joined(roots), F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        common = spark.sparkContext.broadcast(common_shingles(docs, width))
+
+        def prints(texts: list) -> list:
+            nodes, fps, samples_, sizes, index, tokens = [], [], [], [], [], []
+            for t in texts:
+                words, h = shingle_hashes(t, width)
+                ordered = rarest_first(h, common.value)
+                nodes.append(hashlib.md5(words).digest())
+                fps.append(majority(h))
+                samples_.append(sample_prints(h, samples).view(np.int64))
+                most, least = prefix_lengths(len(ordered), threshold) if len(ordered) else (0, 0)
+                sizes.append(len(ordered))
+                index.append(least)
+                tokens.append(ordered[:most])
+            return [nodes, np.array(fps, np.uint64).view(np.int64), samples_, sizes, index, tokens]
+
+        made = "node binary, fp long, samples array<long>, n int, index int, tokens array<long>"
+        rows = staged(add_columns(docs.select("key", F.col("text").cast("string")), "text", made, prints).drop("text"), "rows")
+        members = keep(staged(rows.select("key", "node"), "members"))
+        # All rows of a node agree in what is made of its words.
+        texts = staged(rows.groupBy("node", "fp", "samples", "n").agg(F.min("key").alias("key")), "texts")
+        first = lambda by: F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("m"))).alias(by)
+        near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+        by_print = staged(texts.groupBy("fp").agg(first("f")).select(F.col("fp").alias("print"), "f.*"), "by-print")
+        whole = texts.join(by_print, F.col("fp") == F.col("print")).where(near).select("node", "other")
+        tree = links(by_print.select(F.col("print").alias("fp")), radius)
+        name = lambda fp, node, n: by_print.select(F.col("print").alias(fp), F.col("other").alias(node), F.col("m").alias(n))
+        across = tree.join(name("u", "node", "n"), "u").join(name("v", "other", "m"), "v").where(near).select("node", "other")
+        sampled = texts.select("node", "n", F.posexplode("samples").alias("t", "s"))
+        firsts = staged(sampled.groupBy("t", "s").agg(first("f"), F.count("*").alias("c")).where("c > 1").select("t", "s", "f.*"), "firsts")
+        pairs = sampled.join(firsts, ["t", "s"]).where(near).select("node", "other")
+        quick = close_pairs(docs, texts, whole.union(across).union(pairs), width, threshold)
+        joined = lambda roots: roots.select(F.col("node").alias("member"), "root")
+        so_far = texts.select("node", "key").join(joined(components(quick)), F.col("node") == F.col("member"), "left")
+        so_far = staged(so_far.select(F.xxhash64("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("root"), F.col("key").alias("of")), "so-far")
+        held = staged(rows.join(so_far, F.col("key") == F.col("of")).dropDuplicates(["id"]).select("id", "root", "n", "index", "tokens"), "held")
+        discard(spark, rows, by_print, firsts)
+        found = staged(prefix_candidates(held, threshold), "met")
+        discard(spark, held)
+        names = lambda to, name: texts.select(F.xxhash64("node").alias(to), F.col("node").alias(name))
+        rest = close_pairs(docs, texts, found.join(names("x", "node"), "x").join(names("y", "other"), "y").select("node", "other"), width, threshold)
+        roots = components(quick.union(rest))
+        out = members.join(joined(roots), F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return keep(staged(out, "grouped"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -407,16 +419,17 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     key, order = fresh(docs, "__key"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*columns))
     # Rows that agree in every column have one key.
     keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(*columns)), F.md5("text")))
-    groups = staged(similar_groups(keyed.select(F.col(key).alias("key"), "text"), **options), "similar")
-    ids = staged(keyed.select(F.col(key).alias("id"), order.alias("place")), "places")
-    placed = staged(groups.distinct().join(ids.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), F.col("key") == F.col("id")).select("key", "root", "place", "n"), "placed")
-    firsts = placed.groupBy("root").agg(F.min(F.struct("place", "key")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("kept"))
-    judged = staged(placed.join(staged(firsts, "firsts"), F.col("root") == F.col("of")).select("key", "n", (F.col("key") == F.col("kept")).alias("keep")), "judged")
-    # Most rows stay: those to go, and the few that stand for repeats, are the small side.
+    with scratch(docs.sparkSession) as keep:
+        groups = similar_groups(keyed.select(F.col(key).alias("key"), "text"), **options)
+        ids = keyed.select(F.col(key).alias("id"), order.alias("place")).groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+        placed = staged(groups.select("key", "root").distinct().join(ids, F.col("key") == F.col("id")).select("key", "root", "place", "n"), "placed")
+        firsts = placed.groupBy("root").agg(F.min(F.struct("place", "key")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("kept"))
+        judged = placed.join(staged(firsts, "firsts"), F.col("root") == F.col("of")).select("key", "n", (F.col("key") == F.col("kept")).alias("keep"))
+        # Most rows stay: those to go, and the few that stand for repeats, are the small side.
+        judged = keep(staged(judged.where("not keep or n > 1"), "judged"))
     other = fresh(keyed, "__other")
-    named = lambda which: judged.where(which).select(F.col("key").alias(other))
-    once = keyed.join(named("not keep or n > 1"), F.col(key) == F.col(other), "left_anti")
-    repeats = keyed.join(named("keep and n > 1"), F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
+    once = keyed.join(judged.select(F.col("key").alias(other)), F.col(key) == F.col(other), "left_anti")
+    repeats = keyed.join(judged.where("keep").select(F.col("key").alias(other)), F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
     return once.select(*columns).union(repeats.select(*columns))
 
 
