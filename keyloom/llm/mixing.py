@@ -3,17 +3,19 @@
 Sources are leaves of a tree domain > language > source. The token budget flows down by the weights
 of siblings. A leaf can give at most ``max_epochs`` times its tokens; what a node can't use goes first
 to its siblings, by their weights, and only what no sibling can take returns to the ancestor's other
-children. Each leaf then fills its budget with whole epochs and a prefix of one more, in an order
+children. Budgets are window sums over the tree's nodes, one row each, so a tree may have any number of
+leaves. Each leaf then fills its budget with whole epochs and a prefix of one more, in an order
 seeded for each epoch: documents are taken while the running token count stays within the budget.
 
 The prefix is found without sorting a leaf in one task: document order is the order of seeded hashes;
 hashes fall into ``RANGES`` ranges of ``RANGES`` finer ones each; token sums of the ranges (a small table)
 give each range's start, so only rows of a range in which a leaf's budget ends are ordered.
 
-Cases: null or empty texts have no tokens and are in every selected prefix they sort into (they cost
+Cases: very long texts are counted whole, and one that doesn't fit ends its leaf's prefix; ties of order go by id
+and length; null or empty texts have no tokens and are in every selected prefix they sort into (they cost
 nothing); null languages and sources form a leaf named ``unknown``; repeated rows are separate
 documents; sources without a domain fall under ``other``; a node whose children all weigh zero splits
-evenly; an empty table gives an empty result; other columns are ignored by the operator.
+evenly, one of no weight gets what its siblings leave; an empty table gives an empty result; other columns are ignored by the operator.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import read, staged
 
-#: Hash ranges of a leaf on each of two levels, the hashes' span, and the most leaves that the driver plans for.
-RANGES, SPAN, MAX_LEAVES = 256, 1 << 60, 100_000
+#: Hash ranges of a leaf on each of two levels, the hashes' span, and the most leaves whose budgets are broadcast.
+RANGES, SPAN, BROADCAST_LEAVES = 256, 1 << 60, 100_000
 
 
 @dataclass(frozen=True)
@@ -50,43 +52,49 @@ def n_tokens(text: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def split_budget(budget: float, limits: dict, weights: dict) -> dict:
-    """Shares of a budget by weight, none above its limit; what is left over goes to the siblings."""
-    open_, out = {k for k, limit in limits.items() if limit > 0}, dict.fromkeys(limits, 0.0)
-    left = min(budget, sum(limits.values()))
-    while open_ and left > 1e-9:
-        total = sum(weights.get(k, 1.0) for k in open_)
-        part = {k: weights.get(k, 1.0) / total if total > 0 else 1 / len(open_) for k in open_}
-        full = {k for k in open_ if out[k] + left * part[k] >= limits[k] - 1e-9}
-        if not full:
-            for k in open_:
-                out[k] += left * part[k]
-            break
-        for k in full:
-            left -= limits[k] - out[k]
-            out[k] = limits[k]
-        open_ -= full
-        # Weights apply to what the open ones get in all, so their parts start again from nothing.
-        left += sum(out[k] for k in open_)
-        for k in open_:
-            out[k] = 0.0
-    return out
-
-
-def leaf_budgets(tokens: dict[tuple[str, str, str], int], plan: Plan) -> dict[tuple[str, str, str], int]:
-    """Tokens that each leaf (domain, language, source) is to give."""
-    def share(budget: float, keys: list[tuple], depth: int) -> dict:
-        groups: dict[str, list[tuple]] = {}
-        for k in keys:
-            groups.setdefault(k[depth], []).append(k)
-        limits = {g: float(plan.max_epochs * sum(tokens[k] for k in ks)) for g, ks in groups.items()}
-        parts = split_budget(budget, limits, (plan.domains, plan.languages, plan.sources)[depth])
-        if depth == 2:
-            return {groups[g][0]: part for g, part in parts.items()}
-        return {k: b for g, part in parts.items() for k, b in share(part, groups[g], depth + 1).items()}
-
-    out = share(plan.share * sum(tokens.values()), sorted(tokens), 0) if tokens else {}
-    return {k: int(b + 1e-6) for k, b in out.items()}
+def _weight(name: Column, weights: dict[str, float]) -> Column:
+    """A child's weight; what isn't named weighs 1."""
+    if not weights:
+        return F.lit(1.0)
+    known = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in (pair[0], float(pair[1]))])
+    return F.coalesce(F.try_element_at(known, name), F.lit(1.0))
+
+
+def split_budget(children: DataFrame, parent: list[str], child: str, weights: dict[str, float]) -> DataFrame:
+    """``children`` (parent, child, room, above) with ``budget``: shares of the parent's budget ``above``.
+
+    Shares go by weight, none beyond a child's ``room``; what a child can't take goes to its siblings. With
+    siblings in the order of room by weight, the full ones come first, so running sums find them.
+    Children of no weight get what the others leave over, evenly.
+    """
+    weight = _weight(F.col(child), weights)
+    rows = children.withColumn("__tier", (weight <= 0).cast("int")).withColumn("__w", F.when(weight > 0, weight).otherwise(F.lit(1.0)))
+    family, tier = Window.partitionBy(*parent), Window.partitionBy(*parent, "__tier")
+    first = F.coalesce(F.sum(F.when(F.col("__tier") == 0, F.col("room"))).over(family), F.lit(0.0))
+    rows = rows.withColumn("__b", F.when(F.col("__tier") == 0, F.col("above")).otherwise(F.greatest(F.lit(0.0), F.col("above") - first)))
+    upto = tier.orderBy(F.col("room") / F.col("__w"), child).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__rooms", F.sum("room").over(upto)).withColumn("__rest", F.sum("__w").over(tier) - F.sum("__w").over(upto))
+    full = F.col("__b") >= F.col("__rooms") + F.col("room") / F.col("__w") * F.col("__rest") - 1e-9
+    rows = rows.withColumn("__full", full)
+    left = F.col("__b") - F.coalesce(F.sum(F.when(F.col("__full"), F.col("room"))).over(tier), F.lit(0.0))
+    open_ = F.sum(F.when(~F.col("__full"), F.col("__w"))).over(tier)
+    budget = F.when(F.col("__full"), F.col("room")).otherwise(F.greatest(F.lit(0.0), left) * F.col("__w") / open_)
+    return rows.withColumn("budget", budget).select(*children.columns, "budget")
+
+
+def leaf_budgets(sizes: DataFrame, plan: Plan) -> DataFrame:
+    """domain, lang, source, n, leaf_budget: the tokens that each leaf is to give, of leaves with n tokens."""
+    path = ["domain", "lang", "source"]
+    room = (F.lit(plan.max_epochs) * F.sum("n")).cast("double").alias("room")
+    above = sizes.agg((F.least(F.lit(plan.share), F.lit(plan.max_epochs)) * F.sum("n")).cast("double").alias("above"))
+    for depth, weights in enumerate((plan.domains, plan.languages, plan.sources)):
+        children = sizes.groupBy(*path[: depth + 1]).agg(room)
+        if depth:
+            met = children.join(above, path[:depth])
+        else:
+            met = children.crossJoin(F.broadcast(above)).withColumn("__all", F.lit(0))  # a single row
+        above = split_budget(met, path[:depth] or ["__all"], path[depth], weights).select(*path[: depth + 1], F.col("budget").alias("above"))
+    return sizes.join(above, path).select(*path, "n", F.floor(F.col("above") + 1e-6).cast("long").alias("leaf_budget"))
 
 
 def _domain(source: Column, plan: Plan) -> Column:
@@ -101,23 +109,23 @@ def order_key(epoch: Column, row: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), row)), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """doc_id, domain, lang, source, epoch (from 0), tokens, leaf_budget: the chosen documents.
+def mix(docs: DataFrame, plan: Plan | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, epoch (from 0), tokens, leaf_budget, and the columns in ``carry``: the chosen documents.
 
     A document is there once for each epoch that takes it.
     """
-    plan, spark = plan or Plan(), docs.sparkSession
+    plan = plan or Plan()
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"), F.xxhash64("text").alias("digest"))
+    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"), F.xxhash64("text").alias("digest"), *carry)
     rows = staged(rows.withColumn("domain", _domain(F.col("source"), plan)), "sized")
     leaf = ["domain", "lang", "source"]
-    totals = rows.groupBy(*leaf).agg(F.sum("tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves; merge small sources first")
-    sizes = {(r["domain"], r["lang"], r["source"]): r["n"] for r in totals}
+    budgets = leaf_budgets(staged(rows.groupBy(*leaf).agg(F.sum("tokens").alias("n")), "leaves"), plan)
     # A leaf's last epoch is a prefix; the ones before are whole.
-    budgets = [(*k, b, b // sizes[k] if sizes[k] else 0, b % sizes[k] if sizes[k] else 0) for k, b in leaf_budgets(sizes, plan).items()]
-    known = F.broadcast(spark.createDataFrame(budgets, "domain string, lang string, source string, leaf_budget long, whole long, rest long"))
+    some = F.col("n") > 0
+    budgets = budgets.select(*leaf, "leaf_budget", F.when(some, F.expr("leaf_budget div n")).otherwise(0).cast("long").alias("whole"), F.when(some, F.expr("leaf_budget % n")).otherwise(0).cast("long").alias("rest"))
+    known = staged(budgets, "budgets")
+    if known.count() <= BROADCAST_LEAVES:
+        known = F.broadcast(known)
     sized = rows.join(known, leaf).where("leaf_budget > 0")
     ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("digest"))
     place = order_key(F.col("whole"), ident, plan.seed)
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     inside = met.where("whole_range")
     upto = F.sum("tokens").over(Window.partitionBy(*leaf, "coarse", "fine").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = met.where("not whole_range").withColumn("upto", F.col("start") + upto).where("upto <= rest")
-    columns = ["doc_id", *leaf, "epoch", "tokens", "leaf_budget"]
+    columns = ["doc_id", *leaf, "epoch", "tokens", "leaf_budget", *carry]
     partial = inside.withColumn("epoch", F.col("whole")).select(*columns).union(cut.withColumn("epoch", F.col("whole")).select(*columns))
     full = sized.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*columns)
     return full.union(partial)

@@ -282,12 +282,57 @@ def test_leaks_beside_other_numbers_and_of_numbers(spark):
 # -- 9 mixing -------------------------------------------------------------------------------------
 
 
-def test_shortage_goes_to_siblings_first():
+def filled(budget, rooms, weights):
+    """Shares of a budget, by pouring it out until nothing is left: what a full child can't take is poured again."""
+    out, left = dict.fromkeys(rooms, 0.0), min(budget, sum(rooms.values()))
+    for tier in (lambda k: weights.get(k, 1.0) > 0, lambda k: weights.get(k, 1.0) <= 0):
+        weight = {k: weights.get(k, 1.0) or 1.0 for k in rooms if tier(k)}
+        full = set()
+        while weight.keys() - full:
+            rest = left - sum(rooms[k] for k in full)
+            level = rest / sum(weight[k] for k in weight.keys() - full)
+            more = {k for k in weight.keys() - full if rooms[k] <= level * weight[k] + 1e-9}
+            if not more:
+                out.update((k, level * weight[k]) for k in weight.keys() - full)
+                break
+            full |= more
+        out.update((k, rooms[k]) for k in full)
+        left = max(0.0, left - sum(out[k] for k in weight))
+    return out
+
+
+def leaf_budgets(tokens, plan):
+    def share(budget, keys, depth):
+        groups = defaultdict(list)
+        for k in keys:
+            groups[k[depth]].append(k)
+        parts = filled(budget, {g: float(plan.max_epochs * sum(tokens[k] for k in ks)) for g, ks in groups.items()}, (plan.domains, plan.languages, plan.sources)[depth])
+        return {groups[g][0]: part for g, part in parts.items()} if depth == 2 else {k: b for g, part in parts.items() for k, b in share(part, groups[g], depth + 1).items()}
+
+    return {k: int(b + 1e-6) for k, b in share(plan.share * sum(tokens.values()), sorted(tokens), 0).items()}
+
+
+def spark_budgets(spark, tokens, plan):
+    df = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "domain string, lang string, source string, n long")
+    return {(r["domain"], r["lang"], r["source"]): r["leaf_budget"] for r in mixing.leaf_budgets(df, plan).collect()}
+
+
+def test_shortage_goes_to_siblings_first(spark):
     tokens = {("a", "x", "s1"): 10, ("a", "x", "s2"): 1000, ("a", "y", "s3"): 1000, ("b", "x", "s4"): 1000}
     plan = mixing.Plan(domains={"a": 0.5, "b": 0.5}, languages={"x": 0.5, "y": 0.5}, domain_of={}, share=0.2, max_epochs=1)
-    got = mixing.leaf_budgets(tokens, plan)
+    got = spark_budgets(spark, tokens, plan)
     assert got[("a", "x", "s1")] == 10 and abs(got[("a", "x", "s2")] - 140) <= 1 and abs(got[("a", "y", "s3")] - 150) <= 1 and abs(got[("b", "x", "s4")] - 301) <= 1
-    assert mixing.split_budget(100, {"a": 10, "b": 50, "c": 1000}, {"a": 1, "b": 1, "c": 2}) == pytest.approx({"a": 10, "b": 30, "c": 60})
+    assert filled(100, {"a": 10, "b": 50, "c": 1000}, {"a": 1, "b": 1, "c": 2}) == pytest.approx({"a": 10, "b": 30, "c": 60})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_as_poured_by_hand(spark, seed):
+    rng = random.Random(seed)
+    tokens = {(d, lang, f"s{i}"): rng.choice([0, 1, 50, 3000]) for d in "abc" for lang in "xyz" for i in range(rng.randint(1, 9))}
+    weights = lambda names: {n: rng.choice([0, 0.5, 1, 7]) for n in names if rng.random() < 0.8}
+    plan = mixing.Plan(domains=weights("abc"), languages=weights("xyz"), sources=weights([f"s{i}" for i in range(9)]), domain_of={}, share=rng.choice([0.05, 0.6, 2.5, 9]), max_epochs=rng.choice([1, 3]))
+    got, want = spark_budgets(spark, tokens, plan), leaf_budgets(tokens, plan)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
 
 
 def test_prefixes_as_by_hand(spark):
@@ -297,7 +342,7 @@ def test_prefixes_as_by_hand(spark):
     for r in docs.withColumn("h", F.hex(F.xxhash64("text"))).collect():
         leaves[plan.domain_of.get(r["source"], "other"), r["lang"], r["source"]].append((r["doc_id"], r["h"], len((r["text"] or "").split())))
     sizes = {k: sum(x[2] for x in v) for k, v in leaves.items()}
-    for k, budget in mixing.leaf_budgets(sizes, plan).items():
+    for k, budget in leaf_budgets(sizes, plan).items():
         whole, rest = divmod(budget, sizes[k])
         for e in range(whole):
             want.update((i, e) for i, _, _ in leaves[k])
