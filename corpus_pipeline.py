@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, mixing, secrets, simhash, toxicity
-from keyloom.llm.common import fresh, read, staged
+from keyloom.llm.common import discard, fresh, read, scratch, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that each leaf of the source tree gives, once for each epoch that takes them."""
-    return mixing.mix(docs)
+    """The documents that each leaf of the source tree gives, with their texts, once for each epoch that takes them."""
+    return mixing.mix(docs, carry=("text",))
 
 
 STAGES = [
@@ -57,5 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(staged(stage(spark, before, sf_dir), f"stage-{name}"))
+        discard(spark, before)
     return docs
