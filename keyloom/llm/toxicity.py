@@ -1,16 +1,19 @@
 """Toxicity of texts, read through their disguises by a noisy channel.
 
 Writers hide words by look-alike characters (``1d10t``), by spacing letters out (``i d i o t``,
-``i.d.i.o.t``), by masking (``id*ot``) and by repetition (``idiooot``). A suspicious token becomes a
-lattice: each character offers the letters it may stand for, at a channel cost; a separator may stand
-for nothing; a run may stand for fewer letters. Viterbi finds the best path under a character trigram
-model, which is counted over all documents. Words without any such sign have one path, themselves.
+``i.d.i.o.t``), by masking (``id*ot``) and by repetition (``idiooot``). A suspicious token, or a stretch of
+spaced-out letters, becomes a lattice: each character offers the letters it may stand for, at a channel cost; a
+separator may stand for nothing or end a word; a run may stand for fewer letters. Viterbi finds the best path
+under a character trigram model, which is counted over all documents; so a spaced-out sentence falls into its
+words. It takes time in proportion to the token's length, however long. Words without any such sign have one
+path, themselves.
 
 The restored words feed a sparse logistic regression. Its vocabulary is what a chi-square test over
 the labelled sample links to either label; weights come from follow-the-regularised-leader steps.
 The sample is bounded by ``TRAIN_ROWS``; everything else is counted over all rows.
 
-Cases: a null text counts as empty; an empty text gets the intercept's score; rows with a null id or
+Cases: very long texts and tokens are read whole; of equally likely readings the first found counts, of equally
+telling words the first by name enters the vocabulary; a null text counts as empty; an empty text gets the intercept's score; rows with a null id or
 a null label train nothing (a null id is in no test fold); repeated rows are each scored; unless both labels
 occur nothing can be learned and every score is (next to) 0; an empty table gives an empty result; other columns are ignored.
 """
@@ -37,7 +40,11 @@ ALPHA, BETA, L1, L2, KEEP = 0.5, 1.0, 0.6, 1e-4, 0.5
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "gq", "2": "z", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 SEPARATORS = frozenset(" .-_*~'·")
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…–—¿¡"
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~·]{1,3}){2,}[^\W_](?![^\W_])")
+_GAP = re.compile(r"[ .\-_*~'·]+")
+_LETTER = r"[^\W_]|[@$!|+€£¡]"
+_SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_LETTER})[ .\-_*~·]{{1,4}}){{2,}}(?:{_LETTER})(?![^\W_])")
+#: Costs of the channel: a look-alike, a mark that means nothing, a word's end at a usual gap, none at a wide one.
+LOOK, DUST, SPLIT, WIDE = 1.5, 2.0, 2.0, 3.0
 _RUN = re.compile(r"(.)\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -94,50 +101,74 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters, the strings it may stand for with their costs."""
+    """For each run of equal characters (and of separators), the strings it may stand for with their costs.
+
+    In a spaced-out stretch the usual gap between letters is dropped, or is a word's end at a cost;
+    a wider gap is a word's end, or is dropped at a cost. Elsewhere marks inside a word may be dust.
+    """
+    gaps = [len(g) for g in _GAP.findall(token)]
+    spaced = len(gaps) >= 2
+    usual = min(gaps, default=0)
     out, i = [], 0
-    spaced = sum(c in SEPARATORS for c in token) >= 2
     while i < len(token):
         c, n = token[i], 1
-        while i + n < len(token) and token[i + n] == c:
-            n += 1
-        letters = (c,) if c.isalpha() else ()
-        choices = [(x * k, (0.0 if x == c else 1.5) + (0.0 if k == n else 0.5 * (n - k) ** 0.5)) for x in (*letters, *LOOKS.get(c, "")) for k in sorted({1, min(n, 2)})]
-        if c in SEPARATORS or not choices:
-            # Spaced out words drop their separators; other marks inside a word may be dust.
-            choices.append(("", 0.0 if spaced and c in SEPARATORS else 2.0))
+        if c in SEPARATORS:
+            while i + n < len(token) and token[i + n] in SEPARATORS:
+                n += 1
+            edge = i == 0 or i + n == len(token)
+            if not spaced:
+                choices = [("", DUST)] + [(x, LOOK) for x in LOOKS.get(c, "") if n == 1]
+            elif n > usual and not edge:
+                choices = [(" ", 0.0), ("", WIDE)]
+            else:
+                choices = [("", 0.0), (" ", SPLIT)] + [(x, LOOK) for x in LOOKS.get(c, "") if n == 1]
+        else:
+            while i + n < len(token) and token[i + n] == c:
+                n += 1
+            letters = (c,) if c.isalpha() else ()
+            choices = [(x * k, (0.0 if x == c else LOOK) + (0.0 if k == n else 0.5 * (n - k) ** 0.5 if n < 9 else 1.4)) for x in (*letters, *LOOKS.get(c, "")) for k in sorted({1, min(n, 2)})]
+            if not choices:
+                choices.append(("", DUST))
         out.append(choices)
         i += n
     return out
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest plain word for a token, by Viterbi over (two last letters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(token: str, lm: list) -> str:
+    """The likeliest plain words for a token or a spaced-out stretch, by Viterbi over (two last letters); linear in its length."""
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    trail: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for choices in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, done) in states.items():
+        step: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in states.items():
             for text, cost in choices:
                 s, x, y = score - cost, a, b
                 for c in text:
                     z = symbol(c)
-                    s, x, y = s + float(lm[x, y, z]), y, z
-                if (x, y) not in step or s > step[x, y][0]:
-                    step[x, y] = (s, done + text)
+                    s += lm[x][y][z]
+                    x, y = (y, z) if z else (0, 0)
+                if (x, y) not in step or s > step[x, y]:
+                    step[x, y], came[x, y] = s, ((a, b), text)
         states = step
-    return max((s + float(lm[x, y, 0]), w) for (x, y), (s, w) in states.items())[1]
+        trail.append(came)
+    at = max(states, key=lambda k: states[k] + (lm[k[0]][k[1]][0] if k != (0, 0) else 0.0))
+    out = []
+    for came in reversed(trail):
+        at, text = came[at]
+        out.append(text)
+    return "".join(reversed(out)).strip()
 
 
-def restored_words(text: str | None, lm: np.ndarray, known: dict[str, tuple[str, ...]]) -> set[str]:
+def restored_words(text: str | None, lm: list, known: dict[str, tuple[str, ...]]) -> set[str]:
     """The distinct words of a text with disguises undone. ``known`` keeps what tokens became."""
     low = (text or "").lower()
     out: set[str] = set()
     for m in _SPACED.finditer(low):
         # A one-letter word may stand before or after the spaced-out one.
         letters = [i for i, c in enumerate(m[0]) if c not in SEPARATORS]
-        for lo, hi in ((0, len(m[0])), (letters[1], len(m[0])), (0, letters[-2] + 1), (letters[1], letters[-2] + 1)):
-            if sum(lo <= i < hi for i in letters) >= 3:
-                out.add(decode(m[0][lo:hi], lm))
+        for lo, hi in {(0, len(m[0])), (letters[1], len(m[0])), (0, letters[-2] + 1)}:
+            out.update(decode(m[0][lo:hi], lm).split())
     if len(known) > 50_000:
         known.clear()
     for token in set(low.split()):
@@ -149,11 +180,10 @@ def restored_words(text: str | None, lm: np.ndarray, known: dict[str, tuple[str,
             elif not any(c.isalpha() for c in core):
                 got = ()
             else:
-                parts = _WORDS.findall(core)
-                # What stands at the edge may be part of the disguise ($tupid), so both are read.
-                got = tuple({decode(core, lm), *parts} | ({decode(token, lm)} if len(token) <= 40 and token != core and len(token) - len(core) <= 2 else set())) if len(core) <= 64 else tuple(parts)
-            if core.isalpha() and len(token) - len(core) in (1, 2) and (token[0] in LOOKS or token[-1] in "$@"):
-                got = (*got, decode(token, lm))
+                got = (*decode(core, lm).split(), *_WORDS.findall(core))
+            # What stands at the edge may be part of the disguise ($tupid), so both are read.
+            if core and len(token) - len(core) in (1, 2) and (token[0] in LOOKS or token[-1] in "$@"):
+                got = (*got, *decode(token, lm).split())
             known[token] = got
         out.update(got)
     out.discard("")
@@ -174,9 +204,9 @@ def train(docs: DataFrame, labels: DataFrame) -> _Model:
     shared = spark.sparkContext.broadcast(lm)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
+        known, logs = {}, shared.value.tolist()
         for b in slices(batches):
-            yield pd.DataFrame({"toxic": b["toxic"], "ws": [sorted(features(restored_words(t, shared.value, known))) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "ws": [sorted(features(restored_words(t, logs, known))) for t in b["text"]]})
 
     # The sample of labels has about TRAIN_ROWS rows at most: broadcasting it spares the texts a shuffle.
     met = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), F.col("doc_id") == F.col("id"))
@@ -227,15 +257,21 @@ def features(words: set[str]) -> set[str]:
     return words | {w[:n] + "~" for w in words for n in (4, 6) if len(w) > n}
 
 
+def text_scores(texts: list, model: _Model, lm: list, known: dict) -> np.ndarray:
+    """The scores (0 to 1) of some texts; ``lm`` is the model's as nested lists, ``known`` keeps what tokens became."""
+    weights = model["weights"]
+    logits = [model["bias"] + sum(sorted(weights[w] for w in weights.keys() & features(restored_words(t, lm, known)))) for t in texts]
+    return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
+
+
 def score(docs: DataFrame, model: _Model, name: str = "toxicity") -> DataFrame:
     """Every row of ``docs`` with a column ``name`` (0 to 1); the other columns stay."""
     known_model = docs.sparkSession.sparkContext.broadcast(model)
+    held: list = []
 
     def run(texts: list) -> list:
-        m, known = known_model.value, {}
-        weights = m["weights"]
-        logits = [m["bias"] + sum(sorted(weights[w] for w in weights.keys() & features(restored_words(t, m["lm"], known)))) for t in texts]
-        return [1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))]
+        held[:] = held or [known_model.value["lm"].tolist(), {}]
+        return [text_scores(texts, known_model.value, *held)]
 
     return add_columns(docs, "text", f"`{name}` double", run)
 

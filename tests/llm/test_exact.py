@@ -211,15 +211,73 @@ def test_broken_markup(html):
 # -- 7 toxicity -----------------------------------------------------------------------------------
 
 
-def test_disguises(spark):
-    docs = read(spark, SF, "documents").select("doc_id", "text")
-    extra = spark.createDataFrame([(-1, "idiot stupid moron clown " * 400)], "doc_id long, text string")
-    lm = toxicity.language_model(toxicity.trigram_counts(docs.union(extra)))
-    for disguised, word in (("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("st*pid", "stupid"), ("cl0wn", "clown"), ("c-l-o-w-n", "clown")):
-        assert word in toxicity.restored_words(f"such a {disguised} here", lm, {}), disguised
+DISGUISED = {
+    "looks": ["1d10t", "m0r0n", "$tupid", "st*pid", "cl0wn", "1d10" + "t" * 60],
+    "spacing": ["i d i o t", "i.d.i.o.t", "c-l-o-w-n", "m_o_r_o_n", "s t u p i d  c l o w n", "y.o.u.a.r.e.a.m.o.r.o.n", "a i d i o t"],
+    "repetition": ["idiooot", "idi" + "o" * 70 + "t", "mmmoronnn", "stuuupiiid", "clooooown"],
+}
+
+
+@pytest.fixture(scope="module")
+def insulted(spark):
+    """A model of labelled texts with plain insults, over a corpus of the given documents."""
+    rng = random.Random(17)
+    docs = [r["text"] for r in read(spark, SF, "documents").where("lang = 'en' and text is not null").select("text").collect()]
+    words = [w for t in docs for w in t.lower().split() if w.isalpha() and w not in ("idiot", "moron", "stupid", "clown")]
+    rows = []
+    for i in range(500):
+        text = rng.choices(words, k=30)
+        if i % 2:
+            text[rng.randrange(30)] = rng.choice(["idiot", "moron", "stupid", "clown"])
+        rows.append((i, " ".join(text), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")), words
+
+
+def test_disguises(insulted):
+    model, _ = insulted
+    lm = model["lm"].tolist()
+    for disguised in [x for form in DISGUISED.values() for x in form]:
+        assert {"idiot", "moron", "stupid", "clown"} & toxicity.restored_words(f"such {disguised} here", lm, {}), disguised
     assert toxicity.restored_words("plain words stay 2024 10%", lm, {}) >= {"plain", "words", "stay"}
 
 
+def every_path(choices):
+    paths = [("", 0.0)]
+    for options in choices:
+        paths = [(done + text, cost + more) for done, cost in paths for text, more in options]
+    return paths
+
+
+def test_decoder_finds_the_best_of_all_paths(insulted):
+    model, _ = insulted
+    lm = model["lm"].tolist()
+
+    def value(text, cost):
+        total, x, y = -cost, 0, 0
+        for c in text:
+            z = toxicity.symbol(c)
+            total += lm[x][y][z]
+            x, y = (y, z) if z else (0, 0)
+        return total + (lm[x][y][0] if (x, y) != (0, 0) else 0.0)
+
+    for token in ("1d10t", "a.b.c", "m0r0n", "$t*p1d", "aab 1", "i d  o t", "x@y"):
+        best = max(value(t, c) for t, c in every_path(toxicity.lattice(token)))
+        got = toxicity.decode(token, lm)
+        assert any(t.strip() == got and value(t, c) == pytest.approx(best) for t, c in every_path(toxicity.lattice(token))), token
+
+
+@pytest.mark.parametrize("form", sorted(DISGUISED))
+def test_disguised_insults_need_the_decoder(insulted, monkeypatch, form):
+    (model, words), rng = insulted, random.Random(3)
+    texts = [" ".join([*rng.choices(words, k=20), x, *rng.choices(words, k=20)]) for x in DISGUISED[form]]
+    clean = [" ".join(rng.choices(words, k=41)) for _ in range(100)]
+    lm = model["lm"].tolist()
+    assert (toxicity.text_scores(texts, model, lm, {}) >= 0.5).mean() > 0.8 and (toxicity.text_scores(clean, model, lm, {}) >= 0.5).mean() < 0.03
+    monkeypatch.setattr(toxicity, "decode", lambda token, lm: token)
+    assert (toxicity.text_scores(texts, model, lm, {}) >= 0.5).mean() < 0.2
+
+
 def test_trigrams_are_counted_over_all_rows(spark):
     df = spark.createDataFrame([("ab",), ("ab",), (None,)], "text string")
     assert toxicity.trigram_counts(df)[0, 1, 2] == 2
@@ -388,9 +446,9 @@ def test_pipeline_stage_by_stage(spark):
     labels = read(spark, SF, "labels")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
-    by_hand = set()
+    by_hand, lm = set(), model["lm"].tolist()
     for r in docs.collect():
-        words = toxicity.features(toxicity.restored_words(r["text"], model["lm"], {}))
+        words = toxicity.features(toxicity.restored_words(r["text"], lm, {}))
         if model["bias"] + sum(model["weights"].get(w, 0.0) for w in words) < 0:
             by_hand.add(r["doc_id"])
     assert kept == by_hand
