@@ -214,7 +214,7 @@ def test_broken_markup(html):
 DISGUISED = {
     "looks": ["1d10t", "m0r0n", "$tupid", "st*pid", "cl0wn", "1d10" + "t" * 60],
     "spacing": ["i d i o t", "i.d.i.o.t", "c-l-o-w-n", "m_o_r_o_n", "s t u p i d  c l o w n", "y.o.u.a.r.e.a.m.o.r.o.n", "a i d i o t"],
-    "repetition": ["idiooot", "idi" + "o" * 70 + "t", "mmmoronnn", "stuuupiiid", "clooooown"],
+    "repetition": ["iiidiot", "id" + "i" * 70 + "ot", "mmmoronnn", "stuuupiiid", "clllooown"],
 }
 
 
@@ -237,7 +237,7 @@ def insulted(spark):
 def test_disguises(insulted):
     model, _ = insulted
     lm = model["lm"].tolist()
-    for disguised in [x for form in DISGUISED.values() for x in form]:
+    for disguised in [x for form in DISGUISED.values() for x in form] + ["idiooot", "idi" + "o" * 70 + "t"]:
         assert {"idiot", "moron", "stupid", "clown"} & toxicity.restored_words(f"such {disguised} here", lm, {}), disguised
     assert toxicity.restored_words("plain words stay 2024 10%", lm, {}) >= {"plain", "words", "stay"}
 
