@@ -1,46 +1,53 @@
 """Main text of web pages, with site templates removed.
 
-Pass 1 walks each page's elements and hashes the subtree of every candidate element (its tag, class
-and id, and everything below it). Spark counts, for each host, on how many pages a hash occurs; a
-hash that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages is part of the
-site's template. Pass 2 walks the page again and deletes those subtrees, together with what names
-itself as furniture (nav, footer, aside, form, script, adverts, notices, comments and the like).
+Pass 1 walks each page's elements and hashes candidate subtrees: every element's whole subtree (its tag, class
+and id, and everything below it), and for lists of links outside the article also the markup alone, with
+runs of equal children taken as one, so that a menu is known again whatever it links to. Spark counts on
+how many different pages of a host a hash occurs (copies of a page count once); a hash on at least ``MIN_PAGES`` of
+them that are ``MIN_SHARE`` of the host's pages, or on ``MANY_PAGES``, is part of the site's template. Pass 2 walks
+the page again and deletes those subtrees, together with what names itself as furniture (nav, footer,
+aside, form, script, adverts, notices, comments and the like), which recurrence can't find on hosts of few pages.
 
 Text blocks of the article itself (paragraphs, headings, list items ...) are no candidates inside
-``article`` or ``main``: a sentence that many articles share belongs to each of them. If a page has
+``article`` or ``main``: a sentence that many articles share belongs to each of them. Nor is a subtree with
+more than half of the page's text: near copies of one page would lose it. If a page has
 an article or a main element outside the furniture, only what lies in one is returned.
 
-A host has at most (candidates a page) / MIN_SHARE template hashes, however many pages it has, since
-each must occur on MIN_SHARE of them. The table of hashes is broadcast only if it was measured to be
-below ``BROADCAST_ROWS`` rows; beyond that it meets the pages in a salted join.
+The table of template hashes is broadcast only if it was measured to be at most ``BROADCAST_ROWS`` rows; beyond
+that each page's own hashes are joined with it, and the page with those that were found.
 
 Cases: a null or empty html gives an empty text; a null url has the empty host; broken markup
-(unclosed or stray tags) is read as browsers do, near enough; repeated pages are each returned, and
-each counts as a page of its host; an empty table gives an empty result; other columns are ignored.
+(unclosed or stray tags, quotes and comments) is read as browsers do, near enough; parsing takes time in
+proportion to the page's length, however it is nested or broken; repeated pages are each returned, but count as one page of
+their host; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, read, slices, staged
+from .common import add_columns, read, staged
 from .urlfilter import split_url
 
-MIN_PAGES, MIN_SHARE = 3, 0.2
-BROADCAST_ROWS, SALTS = 200_000, 64
+#: Different pages of a host, and their share or their plain number, that make a recurring subtree a template.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 3, 0.2, 100
+#: The share of a subtree's text inside links, and its links, that make it a list of links.
+LINKED, LINKS = 0.6, 2
+BROADCAST_ROWS = 200_000
 
 # Element names of HTML by their role here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
 _FURNITURE = frozenset("nav footer aside form script style noscript template iframe svg math object button select textarea menu dialog head title canvas audio video map".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_SWALLOWS = frozenset("script style textarea title".split())  # the rest of the page, if they aren't closed
+_INLINE = frozenset("img input source track embed link meta param base col area a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split()) | _INLINE
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 _SELF_CLOSING = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -51,13 +58,14 @@ _NAMED = frozenset(
     "sharing social related recommended comment comments disqus respond reply replies discussion pagination pager skip toolbar search complementary contentinfo".split()
 )
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_REST = re.compile(r"""((?:[^"'>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "mark", "bad", "kids", "digest")
+    __slots__ = ("tag", "mark", "bad", "kids", "digest", "form", "chars", "linked", "links", "drawn")
 
     def __init__(self, tag: str, mark: str, bad: bool):
         self.tag, self.mark, self.bad, self.kids, self.digest = tag, mark, bad, [], None
@@ -77,104 +85,165 @@ def _open(tag: str, attributes: str) -> _Node:
     return _Node(tag, mark, False if tag in ("html", "body", "article", "main") else bad)
 
 
+class _Stack:
+    """The open elements; the innermost of a tag, and of those that aren't inline, is known without a search."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node: _Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in _INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def innermost(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, i: int) -> None:
+        """Closes element ``i`` and all inside it."""
+        while len(self.nodes) > i:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if self.blocks[-1] == len(self.nodes):
+                self.blocks.pop()
+
+
 def parse(html: str) -> _Node:
     """A tree of the elements; text pieces are strings among an element's children."""
     root = _Node("#root", "", False)
-    stack, at = [root], 0
+    stack, at, unclosed = _Stack(root), 0, set()
     while at < len(html):
-        m = _PIECE.search(html, at)
-        if m is None:
-            stack[-1].kids.append(html[at:])
+        lt = html.find("<", at)
+        if lt < 0:
+            stack.nodes[-1].kids.append(html[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(entities.escape(m[0][9:].removesuffix("]]>")))
+        mark = html[lt + 1 : lt + 2]
+        named = _NAME.match(html, lt + 1) if mark not in "!?" else None
+        if lt > at or mark not in "!?" and not named:
+            upto = lt if mark and mark in "!?" or named else lt + 1  # a sign that opens nothing is text
+            stack.nodes[-1].kids.append(html[at:upto])
+            if upto > lt:
+                at = upto
+                continue
+        if not named:
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else len(html)
+            elif html.startswith("<![CDATA[", lt):
+                end = html.find("]]>", lt + 9)
+                stack.nodes[-1].kids.append(entities.escape(html[lt + 9 : end if end >= 0 else len(html)]))
+                at = end + 3 if end >= 0 else len(html)
+            else:
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else len(html)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                # An inline end tag doesn't close the blocks around it.
-                if tag in _INLINE and stack[i].tag not in _INLINE:
-                    break
+        rest = _REST.match(html, named.end())
+        if rest is None:
+            break  # the page ends inside a tag
+        at, tag, attributes = rest.end(), named[2].lower(), rest[1]
+        if named[1]:
+            i = stack.innermost((tag,))
+            # An inline end tag doesn't close the blocks around it.
+            if i and (tag not in _INLINE or i > stack.blocks[-1]):
+                stack.close(i)
             continue
-        if tag in _ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+        if tag in _ENDS_P and stack.nodes[stack.blocks[-1]].tag == "p":
+            stack.close(stack.blocks[-1])
         if tag in _SELF_CLOSING:
             closed, within = _SELF_CLOSING[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in closed.split():
-                    del stack[i:]
-                    break
-        node = _open(tag, m[3])
+            i = stack.innermost(closed.split())
+            if i > stack.innermost(within):
+                stack.close(min(stack.at[t][-1] for t in closed.split() if stack.at.get(t) and stack.at[t][-1] > stack.innermost(within)))
+        node = _open(tag, attributes)
         if node.bad == "header":  # an article's own header has its title
-            node.bad = not any(n.tag in ("article", "main") for n in stack)
-        stack[-1].kids.append(node)
+            node.bad = not (stack.at.get("article") or stack.at.get("main"))
+        stack.nodes[-1].kids.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            stop, at = (end.start(), end.end()) if end else (len(html), len(html))
-            node.kids.append(html[m.end() : stop])
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-            if len(stack) > 400:  # deeper nesting is read as siblings
-                stack.pop()
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            if end:
+                node.kids.append(html[at : end.start()])
+                close = html.find(">", end.end())
+                at = close + 1 if close >= 0 else len(html)
+            elif tag in _SWALLOWS:
+                at = len(html)
+            else:
+                unclosed.add(tag)
+        elif tag not in _VOID and not attributes.rstrip().endswith("/"):
+            stack.push(node)
     return root
 
 
-def _digest(node: _Node) -> int:
-    """The subtree's hash, from the leaves up, without recursion."""
-    todo = [(node, False)]
+def _measure(root: _Node) -> None:
+    """Each subtree's hashes, text and links, from the leaves up, without recursion.
+
+    ``drawn`` is one of its text pieces, by a hash that favours long ones: near copies mostly draw the same.
+    """
+    todo = [(root, False)]
     while todo:
         n, ready = todo.pop()
         if not ready:
             todo.append((n, True))
             todo.extend((k, False) for k in n.kids if not isinstance(k, str))
-        else:
-            below = "\x1f".join(f"\x1e{k.digest:x}" if not isinstance(k, str) else " ".join(k.split()) for k in n.kids)
-            n.digest = xxhash.xxh64_intdigest(f"{n.tag}\x1f{n.mark}\x1f{below}".encode("utf-8", "surrogatepass"), 42) - (1 << 63)
-    return node.digest
+            continue
+        below, forms, n.chars, n.linked, n.links, n.drawn = [], [], 0, 0, int(n.tag == "a"), (math.inf, 0)
+        for k in n.kids:
+            if isinstance(k, str):
+                flat = " ".join(k.split())
+                below.append(flat)
+                if flat and not n.bad:
+                    n.chars += len(flat)
+                    h = _hash(flat)
+                    n.drawn = min(n.drawn, (-math.log((h + (1 << 63) + 1) / ((1 << 64) + 2)) / len(flat), h))
+            else:
+                below.append(f"\x1e{k.digest:x}")
+                if not forms or forms[-1] != k.form:
+                    forms.append(k.form)
+                n.chars, n.linked, n.links = n.chars + k.chars, n.linked + k.linked, n.links + k.links
+                if not k.bad:
+                    n.drawn = min(n.drawn, k.drawn)
+        n.linked = n.chars if n.tag == "a" else n.linked
+        n.digest = _hash(f"{n.tag}\x1f{n.mark}\x1f" + "\x1f".join(below))
+        n.form = _hash(f"form\x1f{n.tag}\x1f{n.mark}\x1f" + ",".join(map(str, forms)))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
 
 
-def _candidates(root: _Node) -> Iterator[_Node]:
-    """Elements that may be a template's: none that already names itself, and no text of an article."""
+def _candidates(root: _Node) -> Iterator[tuple[_Node, list[int]]]:
+    """Elements that may be a template's, with the hashes they may be known by: no text of an article, and not most of the page.
+
+    What names itself furniture is counted too, but not what lies inside it.
+    """
     todo = [(root, False)]
     while todo:
         n, inside = todo.pop()
         inside = inside or n.tag in ("article", "main")
         for k in n.kids:
-            if isinstance(k, str) or k.bad:
+            if isinstance(k, str):
                 continue
-            if k.tag not in ("html", "body", "head", "article", "main") and k.tag not in _VOID and not (inside and k.tag in _TEXT):
-                yield k
-            todo.append((k, inside))
+            if k.tag not in ("html", "body", "head", "article", "main") and k.tag not in _VOID and not (inside and k.tag in _TEXT) and 2 * k.chars <= root.chars:
+                menu = not inside and (k.bad or k.links >= LINKS and k.linked >= LINKED * k.chars)
+                yield k, [k.digest, k.form] if menu else [k.digest]
+            if not k.bad:
+                todo.append((k, inside))
 
 
-def subtree_hashes(html: str | None) -> list[int]:
-    """The distinct hashes of a page's candidate elements."""
+def subtree_hashes(html: str | None) -> tuple[int, list[int]]:
+    """The hash of the text piece that stands for a page, and the distinct hashes of its candidate elements."""
     root = parse(html or "")
-    _digest(root)
-    return sorted({n.digest for n in _candidates(root)})
+    _measure(root)
+    return root.drawn[1], sorted({h for _, hashes in _candidates(root) for h in hashes})
 
 
 def extract(html: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text: blocks in page order, joined by one space."""
     root = parse(html or "")
     if template:
-        _digest(root)
-        for n in _candidates(root):
-            n.bad = n.bad or n.digest in template
+        _measure(root)
+        for n, hashes in list(_candidates(root)):
+            n.bad = n.bad or not template.isdisjoint(hashes)
 
     def mains(n: _Node) -> list[_Node]:
         found, todo = [], [n]
@@ -205,46 +274,51 @@ def extract(html: str | None, template: set[int] | frozenset[int] = frozenset())
     return " ".join(entities.unescape("".join(pieces)).split())
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the template subtrees of each host (page columns url, html)."""
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of the html), drawn and hashes (see ``subtree_hashes``) of each different page of a host (columns url, html)."""
+    host, _ = split_url(F.col("url").cast("string"))
+    rows = pages.select(host.alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string"))
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            # The row for the page itself (null) counts the host's pages.
-            hashes = [[None, *subtree_hashes(h)] for h in b["html"]]
-            flat = pd.Series([x for hs in hashes for x in hs], dtype="Int64")
-            yield pd.DataFrame({"host": b["host"].repeat([len(hs) for hs in hashes]).to_numpy(), "digest": flat})
+    def hashed(htmls: list) -> list:
+        made = [subtree_hashes(h) for h in htmls]
+        return [[d for d, _ in made], [h for _, h in made]]
 
-    host, _ = split_url(F.col("url").cast("string"))
-    rows = pages.select(host.alias("host"), F.col("html").cast("string")).mapInPandas(hashed, "host string, digest long")
-    counts = rows.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("digest").isNull() | (F.col("n") >= min_pages))
-    counts = staged(counts, "subtrees")
+    return add_columns(rows, "html", "drawn long, hashes array<long>", hashed).drop("html").dropDuplicates(["host", "page"])
+
+
+def site_templates(hashed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+    """host, digest: the template subtrees of each host, of the table that ``page_hashes`` makes. Near copies count as one page."""
+    hashed = hashed.groupBy("host", "drawn").agg(F.min_by("hashes", "page").alias("hashes"))
+    # The row without a hash counts the host's pages.
+    rows = hashed.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("digest"))
+    counts = staged(rows.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
     totals = counts.where("digest is null").select(F.col("host").alias("on"), F.col("n").alias("pages"))
-    recurring = counts.where("digest is not null").join(totals, F.col("host") == F.col("on")).where(F.col("n") >= min_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_list("digest").alias("hashes"))
+    recurring = counts.where("digest is not null").join(totals, F.col("host") == F.col("on"))
+    return recurring.where((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many)).select("host", "digest")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text of every page (columns page_id, url, html)."""
-    templates = staged(site_templates(pages, min_pages, min_share), "templates")
-    size = templates.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    hashed = staged(page_hashes(pages), "hashed")
+    templates = staged(site_templates(hashed, min_pages, min_share, many), "templates")
     host, _ = split_url(F.col("url").cast("string"))
-    keyed = pages.select("page_id", "url", F.col("html").cast("string"), host.alias("host"))
-    if size <= BROADCAST_ROWS:
-        side = F.broadcast(templates.select(F.col("host").alias("on"), "hashes"))
-        met = keyed.join(side, F.col("host") == F.col("on"), "left")
+    keyed = pages.select("page_id", "url", F.col("html").cast("string"), host.alias("host"), F.xxhash64("html").alias("page"))
+    if templates.count() <= BROADCAST_ROWS:
+        side = templates.groupBy(F.col("host").alias("on")).agg(F.collect_list("digest").alias("hashes"))
+        met = keyed.join(F.broadcast(side), F.col("host") == F.col("on"), "left")
     else:
-        salted = templates.select(F.col("host").alias("on"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("on_salt"))
-        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        met = keyed.join(salted, (F.col("host") == F.col("on")) & (F.col("salt") == F.col("on_salt")), "left")
+        own = hashed.select("host", "page", F.explode("hashes").alias("digest")).join(templates, ["host", "digest"])
+        own = staged(own.groupBy(F.col("host").alias("on"), F.col("page").alias("of")).agg(F.collect_list("digest").alias("hashes")), "own")
+        met = keyed.join(own, (F.col("host") == F.col("on")) & (F.col("page") == F.col("of")), "left")
 
     def extracted(rows: list) -> list:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, tuple[list, frozenset[int]]] = {}
         texts = []
         for r in rows:
-            if r["host"] not in known:
-                known[r["host"]] = frozenset(r["hashes"] or ())
-            texts.append(extract(r["html"], known[r["host"]]))
+            hashes = r["hashes"] or ()
+            if r["host"] not in known or known[r["host"]][0] != hashes:
+                known[r["host"]] = (hashes, frozenset(hashes))
+            texts.append(extract(r["html"], known[r["host"]][1]))
         return [texts]
 
     return add_columns(met.select("page_id", "url", F.struct("host", "html", "hashes").alias("page")), "page", "text string", extracted).drop("page")

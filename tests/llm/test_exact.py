@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,6 +209,64 @@ def test_broken_markup(html):
     assert isinstance(htmltext.extract(html), str)
 
 
+def shop_page(i):
+    """A page without article or main, whose furniture has no telling names: only recurrence gives it away."""
+    links = "".join(f"<li><a href='/{i}/{k}'>Item {i * 7 + k}</a></li>" for k in range(4 + i % 3))
+    body = "".join(f"<p>Paragraph {k} of page {i} has words of its own and some more to read.</p>" for k in range(6))
+    return f"<html><body><div class='x1'><span>Our shop since 1999</span></div><div class='x2'><ul>{links}</ul></div><div class='x3'>{body}<p>As always.</p></div><div class='x4'>Call us any day &amp; night</div></body></html>"
+
+
+def own_text(i):
+    return " ".join(f"Paragraph {k} of page {i} has words of its own and some more to read." for k in range(6)) + " As always."
+
+
+def test_recurrence_decides(spark, monkeypatch):
+    pages = [(i, "http://shop.example/p", shop_page(i)) for i in range(8)] + [(100, "http://alone.example/p", shop_page(0))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    texts = lambda **o: {r["page_id"]: r["text"] for r in htmltext.main_text(df, **o).collect()}
+    got, off = texts(), texts(min_pages=10**9)
+    assert all(got[i] == own_text(i).replace(" As always.", "") for i in range(8))  # a sentence outside an article that all pages share goes too
+    assert all(x in off[3] for x in ("Our shop since 1999", "Item 21", "Call us any day & night", own_text(3))) and got[100] == off[100]
+    # The same by hand: on how many different pages of the host each hash occurs.
+    seen = Counter(h for _, url, html in pages if "shop" in url for h in htmltext.subtree_hashes(html)[1])
+    want = {h for h, n in seen.items() if n >= 3}
+    assert {r["digest"] for r in htmltext.site_templates(htmltext.page_hashes(df)).collect()} == want
+    monkeypatch.setattr(htmltext, "BROADCAST_ROWS", 0)
+    assert texts() == got
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    article = "<html><body><div class='b'><div class='c'><p>" + "</p><p>".join(f"Sentence {i} of the text." for i in range(9)) + "</p></div></div></body></html>"
+    others = [f"<html><body><div><p>Other page {i}</p></div></body></html>" for i in range(4)]
+    # Copies, and near copies that differ in their titles, must not lose their text.
+    rows = [(i, "http://h.example/", article) for i in range(6)] + [(10 + i, "http://h.example/", x) for i, x in enumerate(others)]
+    rows += [(20 + i, "http://near.example/", article.replace("<body>", f"<body><h1>Copy {i}</h1>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Sentence 8 of the text." in got[i] for i in range(6)) and all(got[20 + i].endswith("Sentence 8 of the text.") for i in range(6)) and got[11] == "Other page 1"
+
+
+def test_void_and_inline_tags_break_no_word():
+    assert htmltext.extract("<p>un<img src=x>broken<wbr>word</p><p>two<br>lines</p>") == "unbrokenword two lines"
+    assert htmltext.extract("<p>x < y and a <3 b</p><p title=it's>q</p><svg><p>rest</p>") == "x < y and a <3 b q rest"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<i><div><b></i>", "<dt></dt><div>", '<a b="', "<svg>", "<td><table>", "</b>", "<p><b>", "<!--"])
+def test_broken_pages_take_linear_time(unit):
+    def seconds(n):
+        start = time.process_time()
+        htmltext.extract(unit * n, frozenset([1]))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(60_000) < 40 * max(0.05, seconds(5_000))  # 12 times if linear, 144 if quadratic
+
+
+def test_a_megabyte_of_open_tags():
+    start = time.process_time()
+    htmltext.subtree_hashes("<a " * 350_000)
+    assert time.process_time() - start < 2
+
+
 # -- 7 toxicity -----------------------------------------------------------------------------------
 
 
