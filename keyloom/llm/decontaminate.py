@@ -12,13 +12,16 @@ passage whose placeholders merely coincide is not.
 A document is contaminated by an item if matched windows of a consistent diagonal cover at least
 ``RUN`` words, or the whole item if it is shorter. A diagonal that isn't consistent is judged by its stretches
 of adjacent windows: a stretch is cut at the slots that contradict others of it, and a piece of as many
-words is a leak, as are twice as many words that agree to the letter. Windows with fewer than
-half literal words are only used in the literal reading.
+words is a leak, as are as many words in a row that agree to the letter. Windows with fewer than
+half literal words are only used in the literal reading. An item of fewer than ``MIN_WORDS`` words is too common
+to be a passage: it is only found in texts that have no other words.
 
 The benchmark's window hashes are sent to the executors as a first filter while there are at most
-``MAX_HASHES``; beyond that every window goes into the join.
+``MAX_HASHES``; beyond that every window goes into the join. What passes is joined with the windows and their slots,
+which are broadcast only up to ``BROADCAST_WINDOWS`` rows.
 
-Cases: a null or empty text matches nothing, as does an item without words; repeated items each
+Cases: very long texts and items are read whole; of equally long passages either counts, the number is the same;
+a null or empty text matches nothing, as does an item without words; repeated items each
 match; each text is judged by itself, also where ids are null or repeated; an empty table on either
 side gives documents without matches; other columns are ignored.
 """
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, fresh, read, slices, staged
 
-#: Words of a window, words that must be covered, and hashes that are sent to executors at most.
-WINDOW, RUN, MAX_HASHES = 8, 13, 4_000_000
+#: Words of a window, words that must be covered, and words below which an item must be the whole text.
+WINDOW, RUN, MIN_WORDS = 8, 13, 5
+#: Hashes (8 bytes each) that are sent to executors at most, and windows with their slots (below 1 kB each).
+MAX_HASHES, BROADCAST_WINDOWS = 4_000_000, 50_000
 
 # Unit words.
 UNITS = frozenset(
@@ -155,7 +160,7 @@ def covered_words(windows: list[tuple[int, list[str], list[str]]], run: int, n_w
             last = k
         return out
 
-    need, found = min(run, n_words), [len(s) for s in stretches(exact) if len(s) >= 2 * run]
+    need, found = min(run, n_words), [len(s) for s in stretches(exact) if len(s) >= run]
     if not contrary(covered):
         found.append(len(covered))
     for stretch in stretches(covered):
@@ -210,6 +215,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
                 seen: set[tuple[int, int]] = set()
                 for form, ids in enumerate(forms):
                     for width in widths:
+                        if width < MIN_WORDS and width != len(words):
+                            continue
                         h = window_hashes(ids, width)
                         if listed is None:
                             at = np.arange(len(h))
@@ -227,7 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
 
     keyed = docs.select(F.col("doc_id").cast("string"), text_key().alias("key"), F.col("text").cast("string"))
     places = keyed.mapInPandas(found, "doc_id string, key string, hash long, doc_at int, doc_slots array<string>")
-    side = F.broadcast(windows) if few else windows
+    side = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
     met = places.join(side, "hash").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     # A document may hold an item many times; each diagonal is judged by itself, windows first pooled
     # by their places so that no group is larger than an item.
