@@ -73,26 +73,63 @@ def test_empty_list(spark):
 # -- 4 search -------------------------------------------------------------------------------------
 
 
-def test_search_is_exact_with_ties(spark):
+def best_by_hand(x, ids, queries, k=5):
+    """For each query row its best k other rows."""
+    out = []
+    for a in queries:
+        scores = [(-sum(int(c) * int(d) for c, d in zip(x[a], x[j], strict=True)), ids[j]) for j in range(len(x)) if j != a]
+        out += [(ids[a], r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def searched(spark, x, ids, k=5):
+    df = spark.createDataFrame([(int(i), [int(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<long>")
+    return sorted(map(tuple, mtree.top_k(df, df.where("vec_id % 50 = 0"), k).collect()))
+
+
+def test_search_is_exact_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.integers(-5, 6, (900, 8)), np.repeat(rng.integers(-5, 6, (1, 8)), 700, 0)])
-    df = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>")
-    got = defaultdict(list)
-    for r in mtree.top_k(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in range(0, len(x), 50):
-        s = x @ x[q]
-        assert got[q] == [(i, int(s[i])) for i in sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:5]]
+    ids = list(range(len(x)))
+    want = best_by_hand(x, ids, range(0, len(x), 50))
+    assert searched(spark, x, ids) == want
+    # Many pages, several blocks of queries, pages split by hash.
+    for name, value in (("PAGE", 64), ("BLOCK", 10), ("MOST", 48), ("LEAF", 8), ("FIRST", 4)):
+        monkeypatch.setattr(mtree, name, value)
+    assert searched(spark, x, ids) == want
+
+
+def test_search_of_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(14)
+    x = rng.integers(-3, 4, (60, 4))
+    x[20:28], ids = x[50], [i % 55 for i in range(60)]
+    ids[20:24], ids[50:53] = [50] * 4, [50] * 3
+    assert searched(spark, x, ids) == best_by_hand(x, ids, [j for j in range(60) if ids[j] % 50 == 0])
+
+
+def test_search_of_large_numbers(spark):
+    v = 94906267
+    x = np.array([[v, v - 1], [v, v + 1], [v + 1, v], [v - 1, v + 2], [-v, v], [v, v]])
+    assert searched(spark, x, range(6)) == best_by_hand(x, range(6), [0])
+    with pytest.raises(Exception, match="64 bits"):
+        searched(spark, x * 2**20, range(6))
 
 
 def test_tree_bounds_hold_and_prune():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 1, (400, 6)) for c in (0, 30, -30)]).round()
-    nodes = mtree.build(x)
-    leaves = [n for n in nodes if len(n["rows"])]
-    assert sorted(i for n in leaves for i in n["rows"]) == list(range(len(x)))
-    for n in leaves:
-        assert (np.linalg.norm(x[n["rows"]] - n["centre"], axis=1) <= n["radius"] + 1e-4).all()
+    order, nodes, away = mtree.build(x)
+    assert sorted(order) == list(range(len(x)))
+    for n in nodes:
+        rows, centre = x[order[int(n[mtree._LO]) : int(n[mtree._HI])]], n[mtree._CENTRE :]
+        assert (np.linalg.norm(rows - centre, axis=1) <= n[mtree._RADIUS] + 1e-4).all() and (np.linalg.norm(rows, axis=1) <= n[mtree._NORM] + 1e-6).all()
+        if n[mtree._LEAF]:
+            assert np.allclose(np.linalg.norm(rows - centre, axis=1), away[int(n[mtree._LO]) : int(n[mtree._HI])], atol=1e-4)
+        elif n[mtree._PARENT] >= 0:
+            assert n[mtree._TO_PARENT] == pytest.approx(np.linalg.norm(centre - nodes[int(n[mtree._PARENT]), mtree._CENTRE :]))
+    block = mtree.Block(np.arange(20), x[400:420], np.full(20, -(1 << 63)), 5)
+    assert block.meet(nodes, x[order], away, np.arange(len(x))[order], np.ones(len(x), np.int64)) < 0.5 * 20 * len(x)
+    assert all(-b[-1][0] == sorted(((x @ q).astype(int)[np.arange(len(x)) != i]).tolist())[-5] for i, (b, q) in enumerate(zip(block.best, x[400:420], strict=True)))
 
 
 # -- 5 near copies --------------------------------------------------------------------------------
