@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
 #: Cells of a distance matrix that are compared at once.
 CELLS = 1 << 21
 #: One text in so many is read for the order of shingles; that many common shingles are sent to executors at most.
-SAMPLED, MAX_COMMON = 8, 1_000_000
+SAMPLED, MAX_COMMON = 16, 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
@@ -279,7 +279,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             sets = [np.unique(shingle_hashes(t, width)[1]) for t in b["text"]]
             yield pd.DataFrame({"token": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
 
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string")).distinct()
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string"))
     counts = some.mapInPandas(sampled, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     seen = counts.orderBy(F.desc("n"), "token").limit(MAX_COMMON).toPandas().sort_values("token")
     return seen["token"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
@@ -324,31 +324,55 @@ def prefix_candidates(held: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.greatest("id_x", "id").alias("x"), F.least("id_x", "id").alias("y")).distinct()
 
 
+def joined_pairs(pairs: DataFrame, held: DataFrame, name: str, value: str, test: Callable[[np.ndarray, np.ndarray, dict], bool], more: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (x, y) whose arrays ``value`` of ``held`` (one row for each ``name``) pass a test."""
+    side = lambda to: held.select(F.col(name).alias(to), F.struct(value, *more).alias(f"of_{to}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+
+    def run(pairs_: list) -> list:
+        return [[test(np.array(p["of_x"][value], np.int64), np.array(p["of_y"][value], np.int64), p) for p in pairs_]]
+
+    checked = add_columns(both.select("x", "y", F.struct("of_x", "of_y").alias("both")), "both", "pass boolean", run)
+    return checked.where("pass").select("x", "y")
+
+
+def agreeing_prefixes(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) of ids whose prefixes share enough for their whole sets to be similar.
+
+    A shingle of the prefix that ends first can only be shared by way of the other prefix. So the sets share no
+    more than the prefixes do and what is behind the longer rest.
+    """
+    share = threshold / (1 + threshold)
+
+    def test(a: np.ndarray, b: np.ndarray, p: dict) -> bool:
+        n, m = p["of_x"]["n"], p["of_y"]["n"]
+        return len(np.intersect1d(a, b, assume_unique=True)) + max(n - len(a), m - len(b)) >= share * (n + m) - 1e-9
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    return joined_pairs(pairs, held.join(wanted, "id", "left_semi"), "id", "tokens", test, ("n",))
+
+
 def close_pairs(docs: DataFrame, texts: DataFrame, proposed: DataFrame, width: int, threshold: float) -> DataFrame:
     """u, v: the proposed pairs (node, other) whose whole shingle sets are similar."""
     with scratch(docs.sparkSession) as keep:
-        proposed = staged(proposed.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "proposed")
+        proposed = staged(proposed.where("node <> other").select(F.greatest("node", "other").alias("x"), F.least("node", "other").alias("y")).distinct(), "proposed")
         # Only texts that are proposed are read again: for their whole shingle sets.
-        wanted = proposed.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-        asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", F.col("key").alias("of")), "asked")
+        wanted = proposed.select(F.explode(F.array("x", "y")).alias("wanted")).distinct()
+        asked = staged(texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi").select("node", F.col("key").alias("of"), "rows"), "asked")
 
         def sets(texts_: list) -> list:
             return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
 
-        again = docs.select("key", F.col("text").cast("string")).join(asked, F.col("key") == F.col("of")).select("node", "text")
-        shingles = staged(add_columns(again, "text", "shingles array<long>", sets).select("node", "shingles").dropDuplicates(["node"]), "shingles")
-        both = proposed.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        again = docs.select("key", F.col("text").cast("string")).join(asked, F.col("key") == F.col("of")).select("node", "text", "rows")
+        made = staged(add_columns(again, "text", "shingles array<long>", sets).drop("text"), "shingles")
+        test = lambda a, b, p: (c := len(np.intersect1d(a, b, assume_unique=True))) >= threshold * (len(a) + len(b) - c)
+        close = joined_pairs(proposed, one_each(made, "node"), "node", "shingles", test)
+        return keep(staged(close.select(F.col("x").alias("u"), F.col("y").alias("v")), "close"))
 
-        def close(pairs_: list) -> list:
-            out = []
-            for p in pairs_:
-                x, y = np.array(p["sa"], np.int64), np.array(p["sb"], np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared >= threshold * (len(x) + len(y) - shared))
-            return [out]
 
-        checked = add_columns(both.select("a", "b", F.struct("sa", "sb").alias("sets")), "sets", "close boolean", close)
-        return keep(staged(checked.where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close"))
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key``: only those of more than one row are shuffled for it."""
+    return rows.where("rows = 1").union(rows.where("rows > 1").dropDuplicates([key]))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2, samples: int = 4) -> DataFrame:
@@ -384,7 +408,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radi
         rows = staged(add_columns(docs.select("key", F.col("text").cast("string")), "text", made, prints).drop("text"), "rows")
         members = keep(staged(rows.select("key", "node"), "members"))
         # All rows of a node agree in what is made of its words.
-        texts = staged(rows.groupBy("node", "fp", "samples", "n").agg(F.min("key").alias("key")), "texts")
+        texts = staged(rows.groupBy("node", "fp", "samples", "n").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "texts")
         first = lambda by: F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("m"))).alias(by)
         near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
         by_print = staged(texts.groupBy("fp").agg(first("f")).select(F.col("fp").alias("print"), "f.*"), "by-print")
@@ -397,11 +421,11 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, radi
         pairs = sampled.join(firsts, ["t", "s"]).where(near).select("node", "other")
         quick = close_pairs(docs, texts, whole.union(across).union(pairs), width, threshold)
         joined = lambda roots: roots.select(F.col("node").alias("member"), "root")
-        so_far = texts.select("node", "key").join(joined(components(quick)), F.col("node") == F.col("member"), "left")
-        so_far = staged(so_far.select(F.xxhash64("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("root"), F.col("key").alias("of")), "so-far")
-        held = staged(rows.join(so_far, F.col("key") == F.col("of")).dropDuplicates(["id"]).select("id", "root", "n", "index", "tokens"), "held")
+        so_far = texts.select("node", "key", "rows").join(joined(components(quick)), F.col("node") == F.col("member"), "left")
+        so_far = staged(so_far.select(F.xxhash64("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("root"), F.col("key").alias("of"), "rows"), "so-far")
+        held = staged(one_each(rows.join(so_far, F.col("key") == F.col("of")), "id").select("id", "root", "n", "index", "tokens"), "held")
         discard(spark, rows, by_print, firsts)
-        found = staged(prefix_candidates(held, threshold), "met")
+        found = staged(agreeing_prefixes(staged(prefix_candidates(held, threshold), "met"), held, threshold), "agreeing")
         discard(spark, held)
         names = lambda to, name: texts.select(F.xxhash64("node").alias(to), F.col("node").alias(name))
         rest = close_pairs(docs, texts, found.join(names("x", "node"), "x").join(names("y", "other"), "y").select("node", "other"), width, threshold)
