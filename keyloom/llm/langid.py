@@ -5,7 +5,9 @@ frequencies come from every training document (a Spark aggregate of at most BUCK
 weights are fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample,
 ``PER_LANGUAGE`` documents of each language; a fifth of the sample sets the softmax temperature.
 
-Cases: a null text or one without a letter is ``und`` with score 0; a null language or id never
+Sampling is by hash of the text; a text counts once a language, and languages beyond ``MOST_LANGUAGES`` (the rarest) aren't learned.
+
+Cases: very long texts are read whole; of equally likely languages the first by name is predicted; a null text or one without a letter is ``und`` with score 0; a null language or id never
 trains (a null id is in no test fold); repeated rows are each predicted; without any training
 document everything is ``und``; an empty table gives an empty result; other columns are ignored.
 """
@@ -22,21 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, held_out, read, slices
 
-#: n-gram length, hashed columns, and documents of each language that train the weights at most.
-N, BUCKETS, PER_LANGUAGE = 3, 1 << 15, 800
+#: n-gram length, hashed columns, documents of each language that train the weights at most, and languages.
+N, BUCKETS, PER_LANGUAGE, MOST_LANGUAGES = 3, 1 << 15, 800, 400
 #: FTRL-proximal: step size and smoothing, the two penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 4
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x30000)] + [False])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The hashed n-grams of a text (bucket, count); none if it has no letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    letter = _letters()[np.minimum(codes, 0x30000)]
+    letter = _letters()[codes]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.where(letter, codes, np.uint64(32))
@@ -123,23 +125,26 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 def train(labelled: DataFrame) -> dict:
     """The model from rows (doc_id, text, lang)."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     classes = sorted(sizes)
     if not classes:
         return {"classes": []}
     n, df = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1
     every = F.create_map(*[F.lit(x) for c in classes for x in (c, max(1, sizes[c] // PER_LANGUAGE))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.element_at(every, F.col("lang"))) == 0)
+    drawn = F.xxhash64("text", F.lit(5)).alias("drawn")
+    chosen = labelled.where(F.pmod(drawn, F.try_element_at(every, F.col("lang"))) == 0).select("text", "lang", drawn)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             found = [gram_counts(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [a.astype(np.int32) for a, _ in found], "c": [c.astype(np.int32) for _, c in found]})
+            yield pd.DataFrame({"drawn": b["drawn"], "lang": b["lang"], "at": [a.astype(np.int32) for a, _ in found], "c": [c.astype(np.int32) for _, c in found]})
 
-    # At most about PER_LANGUAGE rows a language, of at most BUCKETS entries.
-    sample = chosen.mapInPandas(grams, f"doc_id {dict(labelled.dtypes)['doc_id']}, lang string, at array<int>, c array<int>").toPandas()
-    sample = sample[sample["at"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
+    # About PER_LANGUAGE rows a language, of at most BUCKETS entries; a text that recurs is one row of them.
+    rows = chosen.mapInPandas(grams, "drawn long, lang string, at array<int>, c array<int>").dropDuplicates(["drawn", "lang"])
+    sample = rows.orderBy("drawn", "lang").limit(2 * PER_LANGUAGE * len(classes)).toPandas()
+    sample = sample[sample["at"].map(len) > 0]
     xs = [(np.asarray(a, np.int64), weigh(np.asarray(a, np.int64), np.asarray(c), idf)) for a, c in zip(sample["at"], sample["c"], strict=True)]
     ys = [classes.index(x) for x in sample["lang"]]
     order = np.random.default_rng(17).permutation(len(xs))

@@ -6,8 +6,9 @@ level 2 the listed keys that level 1 lets through; and so on until a level lets
 through. For a key of the universe the first level that refuses it settles membership: refused by an
 even level, it isn't listed; refused by an odd level, it is. So probing needs no join and is exact.
 
-Everything runs as DataFrame expressions. The driver sees the filters' bits only, at most
-``MAX_BITS`` of them; a longer list is matched by a semi join instead (``listed_by_join``).
+Everything runs as DataFrame expressions. The driver sees the filters' bits only, at most ``MAX_BITS`` a level, which
+go into the plan as one constant array; where a level would need more, ``judge`` matches by a semi join instead
+(``listed_by_join``), with the same result.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule, and verdict allow;
 repeated urls are each judged; an empty table or an empty list gives no blocks by the method; other
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, read, staged
 
-#: Bits a key in a level, hash functions, and the most bits that one level may take (32 MiB).
-BITS_PER_KEY, HASHES, MAX_BITS = 10, 4, 1 << 28
+#: Bits a key in a level, hash functions, and the most bits that one level may take (1 MiB, for 800 000 keys).
+BITS_PER_KEY, HASHES, MAX_BITS = 10, 4, 1 << 23
 
 #: (host, path, verdict)
 RULES = (
@@ -60,6 +61,10 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits)) for i in range(HASHES)]
 
 
+class TooLarge(ValueError):
+    """A level would need more than MAX_BITS."""
+
+
 def _level(keys: DataFrame, level: int) -> tuple[int, Column] | None:
     """A level's size in bits and its words as one array; None if there are no keys."""
     n = keys.count()
@@ -67,7 +72,7 @@ def _level(keys: DataFrame, level: int) -> tuple[int, Column] | None:
         return None
     bits = 64 * -(-n * BITS_PER_KEY // 64)
     if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits; at most {MAX_BITS} are sent to executors")
+        raise TooLarge(f"{n} keys need {bits} bits; at most {MAX_BITS} go into the plan")
     place = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
     words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
     have = {r["word"]: r["bits"] for r in words.collect()}
@@ -85,7 +90,7 @@ def _passes(key: Column, level: int, bits: int, words: Column) -> Column:
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[int, Column]]:
-    """The levels for two DataFrames of one column ``key``; both need not be distinct or disjoint."""
+    """The levels for two DataFrames of one column ``key``; both need not be distinct or disjoint. May raise TooLarge."""
     marked = universe.select("key", F.lit(0).alias("m")).union(listed.select("key", F.lit(1).alias("m")))
     keys = staged(marked.where("key is not null").groupBy("key").agg(F.max("m").alias("m")), "keys")
     levels: list[tuple[int, Column]] = []
@@ -129,9 +134,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     universe = urls.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    levels = build_cascade(universe, listed)
-    member = F.exists(suffixes(F.col("host")), lambda k: in_cascade(k, levels))
-    judged = urls.withColumn("listed", member).withColumn("rule", rule).withColumn("by_rule", verdict)
+    try:
+        levels = build_cascade(universe, listed)
+    except TooLarge:
+        hits = listed_by_join(urls.select("host"), listed).select(F.col("host").alias("hit"))
+        met = urls.join(hits, F.col("host") == F.col("hit"), "left").withColumn("listed", F.col("hit").isNotNull()).drop("hit")
+    else:
+        met = urls.withColumn("listed", F.exists(suffixes(F.col("host")), lambda k: in_cascade(k, levels)))
+    judged = met.withColumn("rule", rule).withColumn("by_rule", verdict)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_list).alias("verdict"), "listed")
 

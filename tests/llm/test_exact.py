@@ -64,6 +64,15 @@ def test_cascade_is_exact(spark):
     assert {r["host"][4:] for r in urlfilter.listed_by_join(hosts, listed).collect()} == got
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    urls = ["http://a.spam-farm.example.org/x", "http://spam-farm.example.org", "http://b.example.net/fr/", None, "ftp://ok.example/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(k,) for k in urlfilter.LISTED], "key string")
+    want = sorted(urlfilter.judge(pages, listed).collect())
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 64)
+    assert sorted(urlfilter.judge(pages, listed).collect()) == want and sum(r["listed"] for r in want) == 2
+
+
 def test_empty_list(spark):
     pages = spark.createDataFrame([(1, "http://Spam-Farm.example.org:80/x?y")], "page_id long, url string")
     row = urlfilter.judge(pages, spark.createDataFrame([], "key string")).first()
@@ -570,6 +579,25 @@ def test_document_frequencies(spark):
     assert n == 2 and seen[langid.gram_counts("a")[0]].max() == 2
 
 
+def test_letters_of_every_plane(spark):
+    assert len(langid.gram_counts("\U00030001")[0]) and not len(langid.gram_counts("12 \U0001f600 !")[0])
+
+
+def test_grams_as_by_hand():
+    """Weights of a text, recomputed from its letters with plain dictionaries."""
+    text = "Ab ab, é1b"
+    flat = " ab ab é b"  # every stretch without letters is one space; none at the end
+    want = Counter(flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1))
+    at, counts = langid.gram_counts(text)
+    assert counts.sum() == sum(want.values()) and sorted(counts.tolist()) == sorted(want.values())
+    idf = np.linspace(1, 2, langid.BUCKETS)
+    x = langid.weigh(at, counts, idf)
+    dense = np.zeros(langid.BUCKETS)
+    for b, c in zip(at, counts, strict=True):
+        dense[b] = (1 + np.log(c)) * idf[b]
+    assert np.allclose(x, (dense / np.linalg.norm(dense))[at]) and langid.temperature(np.array([[3.0, 0.0], [0.0, 3.0]] * 20), np.array([0, 1] * 19 + [1, 0])) > 0.5
+
+
 def test_sparse_weights():
     model = langid.Ftrl(2, 10)
     for _ in range(50):
