@@ -116,7 +116,7 @@ def mix(docs: DataFrame, plan: Plan | None = None, carry: tuple[str, ...] = ())
     """
     plan = plan or Plan()
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"), F.xxhash64("text").alias("digest"), *carry)
+    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"), F.md5(F.col("text").cast("string")).alias("digest"), *carry)
     rows = staged(rows.withColumn("domain", _domain(F.col("source"), plan)), "sized")
     leaf = ["domain", "lang", "source"]
     budgets = leaf_budgets(staged(rows.groupBy(*leaf).agg(F.sum("tokens").alias("n")), "leaves"), plan)
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, plan: Plan | None = None, carry: tuple[str, ...] = ())
     if known.count() <= BROADCAST_LEAVES:
         known = F.broadcast(known)
     sized = rows.join(known, leaf).where("leaf_budget > 0")
-    ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("digest"))
+    ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest")
     place = order_key(F.col("whole"), ident, plan.seed)
     last = sized.where("rest > 0").withColumn("place", place).withColumn("coarse", F.expr(f"place div {SPAN // RANGES}")).withColumn("fine", F.expr(f"place % {SPAN // RANGES} div {SPAN // RANGES // RANGES}"))
     # Two levels of ranges: each window below runs over at most RANGES rows.
@@ -151,3 +151,54 @@ def mix(docs: DataFrame, plan: Plan | None = None, carry: tuple[str, ...] = ())
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
+
+
+def _case(column: str, values: dict, otherwise: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items())
+    return f"CASE {column} {whens} ELSE {otherwise} END" if values else otherwise
+
+
+def _level_sql(name: str, parent: list[str], child: str, above: str, weights: dict[str, float], plan: Plan) -> str:
+    """A level of the tree in SQL: (path, budget), for positive weights."""
+    path, family = ", ".join([*parent, child]), f"PARTITION BY {', '.join(parent) or '1'}"
+    weight = _case(child, weights, "1")
+    on = f"JOIN {above} a USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above} a"
+    upto = f"OVER ({family} ORDER BY room / w, {child} ROWS UNBOUNDED PRECEDING)"
+    return f"""{name}_c AS (SELECT {path}, CAST({plan.max_epochs} * sum(n) AS DOUBLE) AS room, CAST({weight} AS DOUBLE) AS w FROM leaves GROUP BY {path}),
+{name}_q AS (SELECT c.*, a.budget AS above, sum(room) {upto} AS rooms, sum(w) OVER ({family}) - sum(w) {upto} AS others FROM {name}_c c {on}),
+{name}_f AS (SELECT *, above >= rooms + room / w * others - 1e-9 AS filled FROM {name}_q),
+{name} AS (SELECT {path}, CASE WHEN filled THEN room ELSE greatest(0, above - coalesce(sum(CASE WHEN filled THEN room END) OVER ({family}), 0)) * w / sum(CASE WHEN NOT filled THEN w END) OVER ({family}) END AS budget FROM {name}_f)"""
+
+
+def mix_sql(plan: Plan) -> str:
+    """``mix`` over the table documents, in SQL."""
+    domain = _case("source", {k: f"'{d}'" for k, d in plan.domain_of.items()}, "'other'")
+    return f"""
+WITH rows_ AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS tokens,
+    concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(text)) AS ident FROM documents
+),
+sized AS (SELECT *, {domain} AS domain FROM rows_),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS n FROM sized GROUP BY ALL),
+total AS (SELECT CAST(least({plan.share}, {plan.max_epochs}) * sum(n) AS DOUBLE) AS budget FROM leaves),
+{_level_sql("by_domain", [], "domain", "total", plan.domains, plan)},
+{_level_sql("by_lang", ["domain"], "lang", "by_domain", plan.languages, plan)},
+{_level_sql("by_source", ["domain", "lang"], "source", "by_lang", plan.sources, plan)},
+budgets AS (SELECT l.*, CAST(floor(budget + 1e-6) AS BIGINT) AS leaf_budget FROM leaves l JOIN by_source USING (domain, lang, source)),
+met AS (
+  SELECT s.*, leaf_budget, CAST(CASE WHEN n > 0 THEN leaf_budget // n ELSE 0 END AS BIGINT) AS whole, CASE WHEN n > 0 THEN leaf_budget % n ELSE 0 END AS rest
+  FROM sized s JOIN budgets USING (domain, lang, source) WHERE leaf_budget > 0
+),
+last AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(md5('{plan.seed}:' || CAST(whole AS VARCHAR) || ':' || ident), 1, 15), doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM met WHERE rest > 0
+),
+chosen AS (
+  SELECT doc_id, domain, lang, source, whole AS epoch, tokens, leaf_budget FROM last WHERE upto <= rest
+  UNION ALL SELECT doc_id, domain, lang, source, unnest(range(0, whole)) AS epoch, tokens, leaf_budget FROM met WHERE whole > 0
+)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(tokens AS BIGINT) AS tokens, leaf_budget FROM chosen
+"""
+
+
+OP9_SQL = mix_sql(Plan())

@@ -25,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": licenses.OP2_SQL,
         "op3_url_filter": urlfilter.OP3_SQL,
         "op4_mtree_topk": mtree.OP4_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }

@@ -547,7 +547,7 @@ def test_prefixes_as_by_hand(spark):
     docs = read(spark, SF, "documents")
     got = Counter((r["doc_id"], r["epoch"]) for r in mixing.mix(docs).collect())
     plan, want, leaves = mixing.Plan(), Counter(), defaultdict(list)
-    for r in docs.withColumn("h", F.hex(F.xxhash64("text"))).collect():
+    for r in docs.withColumn("h", F.md5("text")).collect():
         leaves[plan.domain_of.get(r["source"], "other"), r["lang"], r["source"]].append((r["doc_id"], r["h"], len((r["text"] or "").split())))
     sizes = {k: sum(x[2] for x in v) for k, v in leaves.items()}
     for k, budget in leaf_budgets(sizes, plan).items():
