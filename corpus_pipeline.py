@@ -3,7 +3,7 @@
 Stages but the last return the columns of documents; the last returns the chosen mixture with its texts.
 
 Cases, for every stage: an empty table gives an empty result; columns with other names, also such as the operators
-use inside, pass through; a null or empty text is never toxic, leaks nothing and has no secrets, all such texts are one
+use inside, pass through; a null or empty text has the toxicity of the intercept, leaks nothing and has no secrets, all such texts are one
 group of near copies, and they cost nothing in the mixture; rows with a null or a repeated id are judged by their own texts;
 repeated rows are near copies of each other, so one stays; of a group the smallest id stays, of equal ids any one; very long texts are read whole.
 """
