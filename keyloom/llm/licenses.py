@@ -14,7 +14,7 @@ least ``threshold`` of the clause's distinct words (containment). The join that
 
 What passes is verified by counting the shared words. All of it is DataFrame expressions.
 
-Cases: a null or empty text has no words, no labels and score zero; words longer than any template
+Cases: very long texts are cut into blocks whole; a block that matches several clauses has all their labels; a null or empty text has no words, no labels and score zero; words longer than any template
 word are kept; repeated rows are each scanned; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -37,14 +37,21 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("cc-by", "licensed under a creative commons attribution license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
     ("reserved", "copyright all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
 )
 
 
