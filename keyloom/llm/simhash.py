@@ -35,6 +35,8 @@ LEAF, SAMPLE_PER_LEAF, MAX_LEAVES = 4096, 24, 65536
 CELLS = 1 << 21
 #: One text in so many is read for the order of shingles; that many common shingles are sent to executors at most.
 SAMPLED, MAX_COMMON = 16, 1_000_000
+#: Texts to be read again whose keys (about 100 bytes each) are sent to executors at most.
+MAX_ASKED = 300_000
 
 
 def shingle_hashes(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
@@ -363,7 +365,9 @@ def close_pairs(docs: DataFrame, texts: DataFrame, proposed: DataFrame, width: i
         def sets(texts_: list) -> list:
             return [[np.unique(shingle_hashes(t, width)[1]).view(np.int64) for t in texts_]]
 
-        again = docs.select("key", F.col("text").cast("string")).join(asked, F.col("key") == F.col("of")).select("node", "text", "rows")
+        # Few are asked for as a rule: sending their keys spares the texts a shuffle.
+        side = F.broadcast(asked) if asked.count() <= MAX_ASKED else asked
+        again = docs.select("key", F.col("text").cast("string")).join(side, F.col("key") == F.col("of")).select("node", "text", "rows")
         made = staged(add_columns(again, "text", "shingles array<long>", sets).drop("text"), "shingles")
         test = lambda a, b, p: (c := len(np.intersect1d(a, b, assume_unique=True))) >= threshold * (len(a) + len(b) - c)
         close = joined_pairs(proposed, one_each(made, "node"), "node", "shingles", test)
